@@ -59,6 +59,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     quotas = [total // shards + (s < total % shards) for s in range(shards)]
     start = F.pmod(F.xxhash64("uid", F.lit(11)), F.lit(shards)).cast("int")
     groups = rows.groupBy("h1", "h2").agg(F.count("*").alias("copies")).where("copies > 1").select("h1", "h2", F.xxhash64("h1", "h2").alias("g"))
+    groups = staged(groups, "groups")  # else the join would use the aggregate's partitions, and Spark couldn't split a hot one
     linked = staged(rows.join(groups, ["h1", "h2"]).select("uid", "g", start.alias("shard")), "linked")
     counts = propagated(staged(linked.groupBy("g", "shard").agg(F.count("*").alias("n")), "labels"), shards, quotas, rounds, chunks)
 
