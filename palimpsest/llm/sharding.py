@@ -13,21 +13,27 @@ from pyspark.sql import functions as F
 
 from .common import drop_staged, running_total, staged
 
-SHARDS, ROUNDS = 16, 4
+SHARDS, ROUNDS = 16, 24
 #: Rows that a task of the running totals holds, on average.
 CHUNK = 8192
 
 
 def propagated(counts: DataFrame, shards: int, quotas: list[int], rounds: int, chunks: int) -> DataFrame:
-    """(g, shard, n) of link groups after the rounds of moves; the sum of n over a shard is within its quota unless it was over it before."""
+    """(g, shard, n) of link groups after the rounds of moves, or when none is left; the sum of n over a shard is within its quota unless it was over it before."""
     group = Window.partitionBy("g")
+    before_round = None
     for _ in range(rounds):
-        load = {r["shard"]: r["n"] for r in counts.groupBy("shard").agg(F.sum("n").alias("n")).collect()}  # a row per shard
+        held = counts.groupBy("shard").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("together")).collect()  # a row per shard
+        load, together = {r["shard"]: r["n"] for r in held}, sum(r["together"] for r in held)
+        if together == before_round:
+            break  # nothing moved
+        before_round = together
         room = F.array(*(F.lit(max(0, quotas[s] - load.get(s, 0))).cast("long") for s in range(shards)))
         free = F.get(room, F.col("shard"))
-        best = F.max(F.struct(F.when(free > 0, F.col("n")).otherwise(-1), F.xxhash64("g", "shard"), F.col("shard"))).over(group)
-        d = counts.withColumn("best", best.getField("shard"))
-        d = d.withColumn("asks", F.when((F.col("shard") != F.col("best")) & (F.get(room, F.col("best")) > 0), F.col("n")).otherwise(0))
+        best = F.max(F.when(free > 0, F.struct("n", F.xxhash64("g", "shard").alias("h"), "shard"))).over(group)
+        d = counts.withColumn("to", best).withColumn("best", F.col("to.shard"))
+        more = F.struct("n", F.xxhash64("g", "shard").alias("h"), "shard") < F.col("to")  # rows never leave a shard with more of their group
+        d = d.withColumn("asks", F.when(more, F.col("n")).otherwise(0)).drop("to")
         asking = d.where("asks > 0")
         before = running_total(asking, ["best"], F.pmod(F.xxhash64("g"), F.lit(chunks)), ["g", "shard"], F.col("asks"), "before")
         granted = F.greatest(F.lit(0), F.least(F.col("asks"), F.get(room, F.col("best")) - F.col("before")))
