@@ -311,9 +311,6 @@ def folded(nodes: list, known: dict[str, Any] | None = None, times: dict[str, in
                 of = Const(as_string(of.value))
                 if not of.value:
                     continue
-                if out and isinstance(out[-1], Output) and isinstance(out[-1].of, Const):
-                    out[-1] = Output(Const(out[-1].of.value + of.value))
-                    continue
             out.append(Output(of))
         elif isinstance(x, Assign):
             to = fold(x.to, known)
@@ -338,7 +335,12 @@ def folded(nodes: list, known: dict[str, Any] | None = None, times: dict[str, in
                 out += cases[0][1]
             elif cases:
                 out.append(Branch(cases))
-    return out
+    joined: list = []
+    for x in out:
+        if joined and all(isinstance(y, Output) and isinstance(y.of, Const) for y in (joined[-1], x)):
+            x = Output(Const(joined.pop().of.value + x.of.value))
+        joined.append(x)
+    return joined
 
 
 # Closures
