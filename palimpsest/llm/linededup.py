@@ -18,7 +18,7 @@ from .common import staged
 #: Similarity, as a fraction of whole numbers so that bounds are exact; words of a shingle.
 NUMERATOR, DENOMINATOR, SHINGLE = 8, 10, 5
 #: Buckets of the table of token counts: its size in bytes, which every task gets.
-RARITY_BUCKETS = 1 << 18
+RARITY_BUCKETS = 1 << 15
 #: Ranks from here on (counts of about 2 ** 17) may be tokens of very many lines; those below are of fewer than that.
 FREQUENT_RANK = 35
 
@@ -33,17 +33,18 @@ def shingles(k: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.xxhash64(*(F.get("w", i + j) for j in range(k))))
 
 
-def with_shingles(docs: DataFrame, k: int) -> DataFrame:
-    """(doc, dk, line, h) of each line of k words or more of docs (doc, dk, text)."""
+def worded(docs: DataFrame) -> DataFrame:
+    """(doc, dk, line, w) of each line of docs (doc, dk, text), w being its words."""
     lines = docs.select("doc", "dk", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    words = lines.select("doc", "dk", "line", words_of(F.col("s")).alias("w")).where(F.size("w") >= k)
-    return words.select("doc", "dk", "line", shingles(k).alias("h"))
+    return lines.select("doc", "dk", "line", words_of(F.col("s")).alias("w"))
 
 
-def rarity_table(lines: DataFrame, bucket_count: int = RARITY_BUCKETS) -> bytearray:
-    """For each bucket of token hashes, a byte that rises with the logarithm of its count over all lines. The driver gets a row per bucket."""
-    # explode_outer: for explode() the optimizer would test the array's size by another evaluation of it
-    counts = lines.select(F.explode_outer("h").alias("h")).groupBy(F.pmod("h", F.lit(bucket_count)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
+def rarity_table(lines: DataFrame, k: int, bucket_count: int = RARITY_BUCKETS) -> bytearray:
+    """For each bucket of token hashes, a byte that rises with the logarithm of its count over all lines (of w). The driver gets a row per bucket."""
+    # shingles are hashed from their places here, not as an array: that keeps the whole pass in generated code
+    places = lines.select("w", F.explode_outer(F.when(F.size("w") >= k, F.sequence(F.lit(0), F.size("w") - k))).alias("i")).where("i is not null")
+    tokens = places.select(F.xxhash64(*(F.get("w", F.col("i") + j) for j in range(k))).alias("h"))
+    counts = tokens.groupBy(F.pmod("h", F.lit(bucket_count)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
     rank = F.least(F.floor(F.log2(F.col("n").cast("double")) * 2).cast("int"), F.lit(120)) + 1
     rows = counts.select("bucket", rank.alias("rank")).toArrow()
     table = bytearray(bucket_count)
@@ -76,13 +77,13 @@ def repeated_lines(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR
     each token of its prefix: as many pairs as postings, and large groups of near copies are mostly settled there. Only
     sets without a match are then compared with all lines before them.
     """
-    every = with_shingles(docs, k)
-    table = rarity_table(every)
+    every = worded(docs)
+    table = rarity_table(every, k)
     tokens = F.col("tokens")
-    lines = every.select("doc", "dk", "line", ranked("h", table).alias("tokens"))
+    lines = every.select("doc", "dk", "line", F.when(F.size("w") >= k, shingles(k)).alias("h")).select("doc", "dk", "line", ranked("h", table).alias("tokens"))
     prefix = F.slice(tokens, F.lit(1), F.size(tokens) - ceil_part(F.size(tokens), num, den) + 1)
     lines = lines.select("doc", "dk", "line", F.size(tokens).alias("n"), F.xxhash64(tokens).alias("h1"), F.xxhash64(F.lit(1), tokens).alias("h2"), prefix.alias("prefix"))
-    lines = staged(lines, "lines")
+    lines = staged(lines, "lines").where("n > 0")
     place = F.struct("doc", "dk", "line")
     sets = lines.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
     postings = sets.select("at", "n", F.posexplode("prefix").alias("p", "token"))
@@ -107,7 +108,7 @@ def repeated_lines(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR
         pairs = staged(pairs.distinct(), f"{name}-pairs")
         need = pairs.select(F.explode(F.array("later", "earlier")).alias("at")).distinct().select("at.dk", "at.line")
         need = need.groupBy("dk").agg(F.collect_set("line").alias("need"))
-        some = docs.join(need, "dk").select("doc", "dk", F.split("text", "\n").alias("t"), "need")
+        some = docs.join(need.hint("shuffle_hash"), "dk").select("doc", "dk", F.split("text", "\n").alias("t"), "need")
         some = some.select("doc", "dk", F.explode("need").alias("line"), "t").select(F.struct("doc", "dk", "line").alias("at"), words_of(F.get("t", "line")).alias("w"))
         some = staged(some.select("at", F.array_distinct(shingles(k)).alias("s")).dropDuplicates(["at"]), f"{name}-sets")
         both = pairs.join(some.select(F.col("at").alias("later"), F.col("s").alias("a")), "later").join(some.select(F.col("at").alias("earlier"), F.col("s").alias("b")), "earlier")
@@ -136,8 +137,11 @@ def dedup_lines(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, k
     keyed = docs.withColumn("_dk", F.xxhash64(F.lit(3), "doc_id", F.col("doc_id").isNull(), "text"))
     slim = keyed.where("text is not null").select(F.col("doc_id").alias("doc"), F.col("_dk").alias("dk"), "text")
     gone = repeated_lines(slim, num, den, k).groupBy(F.col("dk").alias("_dk")).agg(F.collect_set("line").alias("_gone"))
-    joined = keyed.join(gone, "_dk", "left")
-    again = F.row_number().over(Window.partitionBy("_dk").orderBy("_dk")) > 1
+    joined = keyed.join(gone.hint("shuffle_hash"), "_dk", "left")
+    if keyed.groupBy("_dk").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        again = F.lit(False)
+    else:
+        again = F.row_number().over(Window.partitionBy("_dk").orderBy("_dk")) > 1
     joined = joined.withColumns({"_lines": F.split("text", "\n"), "_again": again})
     long_ = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.size(words_of(F.get("_lines", i))) >= k)
     joined = joined.withColumn("_gone", F.when(F.col("_again"), long_).otherwise(F.coalesce("_gone", F.array().cast("array<int>"))))

@@ -83,4 +83,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-ORACLES: dict[str, str] = {}
+#: Every pair of distinct sets of shingles that share one is counted; a line goes if it isn't the first of its set, or its set is like that of an earlier one.
+LINE_DEDUP = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, line, s, list_filter(string_split(s, ' '), lambda x: x <> '') AS w FROM l),
+sh AS (SELECT doc_id, line, doc_id * 1000000 + line AS id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS t FROM w WHERE len(w) >= 5),
+g AS (SELECT t, min(id) AS id, len(t) AS n FROM sh GROUP BY t),
+tok AS (SELECT id, n, unnest(t) AS tok FROM g),
+hit AS (SELECT DISTINCT id FROM (SELECT a.id FROM tok a JOIN tok b ON a.tok = b.tok AND b.id < a.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) * 18 >= (a.n + b.n) * 8) p),
+gone AS (SELECT sh.doc_id, sh.line FROM sh JOIN g ON sh.t = g.t WHERE sh.id > g.id OR sh.id IN (SELECT id FROM hit)),
+kept AS (SELECT l.doc_id, string_agg(l.s, chr(10) ORDER BY l.line) AS text, count(*) AS n FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.line = gone.line WHERE gone.line IS NULL GROUP BY l.doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(kept.text, '') END AS text, CAST(coalesce(len(string_split(d.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(string_split(d.text, chr(10))), 0) - coalesce(kept.n, 0) AS BIGINT) AS n_removed FROM documents d LEFT JOIN kept ON d.doc_id = kept.doc_id"""
+
+ORACLES: dict[str, str] = {"op4_line_dedup": LINE_DEDUP}
