@@ -13,12 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import drop_staged, staged
 
 #: Similarity, as a fraction of whole numbers so that bounds are exact; words of a shingle.
 NUMERATOR, DENOMINATOR, SHINGLE = 8, 10, 5
 #: Buckets of the table of token counts: its size in bytes, which every task gets.
 RARITY_BUCKETS = 1 << 18
+#: Buckets that are counted side by side in a row; both are powers of two.
+COUNTERS = 8
+#: Rows of 64 bits of the filters that spare lines and texts without a candidate a shuffle: at most 2 MB are broadcast.
+MARK_ROWS = 1 << 16
 #: Ranks from here on (counts of about 2 ** 17) may be tokens of very many lines; those below are of fewer than that.
 FREQUENT_RANK = 35
 
@@ -28,9 +32,13 @@ def words_of(line: Column) -> Column:
     return F.array_remove(F.split(line, " "), "")
 
 
+def hashed_words(w: Column) -> Column:
+    return F.transform(w, lambda x: F.xxhash64(x))
+
+
 def shingles(k: int) -> Column:
-    """Hashes of the k-word shingles of w, an array of at least k words; repeats included."""
-    return F.transform(F.sequence(F.lit(0), F.size("w") - k), lambda i: F.xxhash64(*(F.get("w", i + j) for j in range(k))))
+    """Hashes of the k-word shingles of hw, an array of at least k hashes of words; repeats included."""
+    return F.transform(F.slice("hw", F.lit(1), F.size("hw") - (k - 1)), lambda x, i: F.xxhash64(x, *(F.get("hw", i + j) for j in range(1, k))))
 
 
 def worded(docs: DataFrame) -> DataFrame:
@@ -40,25 +48,35 @@ def worded(docs: DataFrame) -> DataFrame:
 
 
 def rarity_table(lines: DataFrame, k: int, bucket_count: int = RARITY_BUCKETS) -> bytearray:
-    """For each bucket of token hashes, a byte that rises with the logarithm of its count over all lines (of w). The driver gets a row per bucket."""
+    """For each bucket of token hashes, a byte that rises with the logarithm of its count over all lines (of w). The driver gets a row per COUNTERS buckets."""
     # shingles are hashed from their places here, not as an array: that keeps the whole pass in generated code
-    places = lines.select("w", F.explode_outer(F.when(F.size("w") >= k, F.sequence(F.lit(0), F.size("w") - k))).alias("i")).where("i is not null")
-    tokens = places.select(F.xxhash64(*(F.get("w", F.col("i") + j) for j in range(k))).alias("h"))
-    counts = tokens.groupBy(F.pmod("h", F.lit(bucket_count)).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
-    rank = F.least(F.floor(F.log2(F.col("n").cast("double")) * 2).cast("int"), F.lit(120)) + 1
-    rows = counts.select("bucket", rank.alias("rank")).toArrow()
+    places = lines.where(F.size("w") >= k).select("w", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("i"))
+    tokens = places.select(F.xxhash64(*(F.xxhash64(F.get("w", F.col("i") + j)) for j in range(k))).alias("h"))
+    # a group counts several buckets, so that the groups fit the map that generated code keeps for them
+    bucket = F.col("h").bitwiseAND(bucket_count - 1).cast("int")
+    within = bucket.bitwiseAND(COUNTERS - 1)
+    groups = tokens.groupBy(F.shiftright(bucket, COUNTERS.bit_length() - 1).alias("group"))
+    counts = groups.agg(*(F.sum((within == j).cast("long")).alias(f"n{j}") for j in range(COUNTERS))).toArrow()
     table = bytearray(bucket_count)
-    for b, r in zip(*(rows.column(x).to_pylist() for x in ("bucket", "rank")), strict=True):
-        table[b] = r
+    group = counts.column("group").to_pylist()
+    for j in range(COUNTERS):
+        for g, n in zip(group, counts.column(f"n{j}").to_pylist(), strict=True):
+            table[g * COUNTERS + j] = rank_of(n)
     return table
 
 
+def rank_of(n: int) -> int:
+    """1 for a count of 0 or 1, 2 more for each doubling, 121 at most."""
+    return min((n * n).bit_length() - 1 if n > 1 else 0, 120) + 1
+
+
 def ranked(hashes: str, table: bytearray) -> Column:
     """The distinct tokens in rising order of rarity rank, then hash."""
     literal = F.lit(table)
 
     def key(h: Column) -> Column:
-        rank = F.ascii(F.substring(literal, F.pmod(h, F.lit(len(table))).cast("int") + 1, 1).cast("string"))
+        # no function here may give null: arrays without nulls are sorted as plain numbers
+        rank = F.ascii(F.substring(literal, h.bitwiseAND(len(table) - 1).cast("int") + 1, 1).cast("string"))
         return F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
 
     return F.sort_array(F.array_distinct(F.transform(hashes, key)))
@@ -70,6 +88,24 @@ def ceil_part(n: Column, num: int, den: int) -> Column:
     return ((up - F.pmod(up, F.lit(den))) / den).cast("int")
 
 
+def slot(columns: list[str]) -> tuple[Column, Column]:
+    """Of a key: the row of the table of marks, and its bit there."""
+    h = F.xxhash64(F.lit(5), *columns)
+    return h.bitwiseAND(MARK_ROWS - 1).cast("int"), F.shiftrightunsigned(h, 58).cast("int")
+
+
+def marks(keys: DataFrame, columns: list[str]) -> DataFrame:
+    """(mark, bits), a Bloom filter of keys with one hash: MARK_ROWS rows at most, however many keys there are."""
+    row, bit = slot(columns)
+    return keys.select(row.alias("mark"), bit.alias("b")).groupBy("mark").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits"))
+
+
+def marked(df: DataFrame, filter_: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of df whose key may be in the filter: all that are, and few others while most bits are unset."""
+    row, bit = slot(columns)
+    return df.withColumns({"mark": row, "_bit": bit}).join(F.broadcast(filter_), "mark").where(F.expr("shiftrightunsigned(bits, _bit) & 1 = 1")).drop("mark", "_bit", "bits")
+
+
 def repeated_lines(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, k: int = SHINGLE) -> DataFrame:
     """(dk, line) of every line of docs (doc, dk, text) that is similar to a line before it, in the order of (doc, dk, line).
 
@@ -80,23 +116,25 @@ def repeated_lines(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR
     every = worded(docs)
     table = rarity_table(every, k)
     tokens = F.col("tokens")
-    lines = every.select("doc", "dk", "line", F.when(F.size("w") >= k, shingles(k)).alias("h")).select("doc", "dk", "line", ranked("h", table).alias("tokens"))
+    lines = every.where(F.size("w") >= k).select("doc", "dk", "line", hashed_words(F.col("w")).alias("hw")).select("doc", "dk", "line", shingles(k).alias("h")).select("doc", "dk", "line", ranked("h", table).alias("tokens"))
     prefix = F.slice(tokens, F.lit(1), F.size(tokens) - ceil_part(F.size(tokens), num, den) + 1)
     lines = lines.select("doc", "dk", "line", F.size(tokens).alias("n"), F.xxhash64(tokens).alias("h1"), F.xxhash64(F.lit(1), tokens).alias("h2"), prefix.alias("prefix"))
-    lines = staged(lines, "lines").where("n > 0")
-    place = F.struct("doc", "dk", "line")
-    sets = lines.groupBy("h1", "h2").agg(F.min(place).alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    postings = sets.select("at", "n", F.posexplode("prefix").alias("p", "token"))
-
-    columns = ["at", "n", "p", "token"]
-    head = F.struct("at", "n", "p")
+    lines = staged(lines, "lines")
+    sets = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "dk", "line")).alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    sets = staged(sets.select("h1", "h2", "at.*", "copies", "n", "prefix"), "sets")
+    copies = lines.select("h1", "h2", F.struct("doc", "dk", "line").alias("at")).join(sets.where("copies > 1").select("h1", "h2", F.struct("doc", "dk", "line").alias("first")), ["h1", "h2"]).where("at > first").select("at.dk", "at.line")
+    copies = staged(copies, "copies")
+    drop_staged(lines)
+
+    # a posting's n and p in one number: these rows are most of what is shuffled
+    postings = sets.select("doc", "dk", "line", "n", F.posexplode("prefix").alias("p", "token")).select("doc", "dk", "line", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p")).alias("np"), "token")
     frequent = F.shiftright("token", 56) >= FREQUENT_RANK
-    by_token = Window.partitionBy("token")
-    rare = postings.where(~frequent).withColumns({"df": F.count("*").over(by_token), "head": F.min(head).over(by_token)}).where("df > 1").select(*columns, "head")
-    rare = staged(rare, "postings")
-    common = staged(postings.where(frequent), "postings")
-    heads = common.groupBy("token").agg(F.min(head).alias("head"), F.count("*").alias("df")).where("df > 1").select("token", "head")
-    postings = rare.unionByName(common.join(heads, "token").select(*columns, "head"))
+    rare = postings.where(~frequent).withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df")
+    postings = staged(rare.unionByName(postings.where(frequent)), "postings")
+    drop_staged(sets)
+    postings = postings.select(F.struct("doc", "dk", "line").alias("at"), F.shiftright("np", 32).cast("int").alias("n"), F.col("np").bitwiseAND(0xFFFFFFFF).cast("int").alias("p"), "token")
+    heads = postings.groupBy("token").agg(F.min(F.struct("at", "n", "p")).alias("head"), F.count("*").alias("df")).where("df > 1").select("token", "head")
+    postings = staged(postings.join(heads, "token"), "headed")
 
     def may_match(a: str, b: str) -> Column:
         an, bn, ap, bp = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.p"), F.col(f"{b}.p")
@@ -106,22 +144,22 @@ def repeated_lines(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR
     def matched(pairs: DataFrame, name: str) -> DataFrame:
         """at of the lines that match, of pairs (later, earlier): their sets are made anew from the texts."""
         pairs = staged(pairs.distinct(), f"{name}-pairs")
-        need = pairs.select(F.explode(F.array("later", "earlier")).alias("at")).distinct().select("at.dk", "at.line")
-        need = need.groupBy("dk").agg(F.collect_set("line").alias("need"))
-        some = docs.join(need.hint("shuffle_hash"), "dk").select("doc", "dk", F.split("text", "\n").alias("t"), "need")
-        some = some.select("doc", "dk", F.explode("need").alias("line"), "t").select(F.struct("doc", "dk", "line").alias("at"), words_of(F.get("t", "line")).alias("w"))
-        some = staged(some.select("at", F.array_distinct(shingles(k)).alias("s")).dropDuplicates(["at"]), f"{name}-sets")
+        need = pairs.select(F.explode(F.array("later", "earlier")).alias("at")).distinct()
+        texts = docs.select("doc", "dk", F.posexplode(F.split("text", "\n")).alias("line", "s"))
+        texts = marked(texts, marks(need.select("at.dk", "at.line"), ["dk", "line"]), ["dk", "line"]).select(F.struct("doc", "dk", "line").alias("at"), "s")
+        some = texts.join(need.hint("shuffle_hash"), "at").dropDuplicates(["at"]).select("at", hashed_words(words_of(F.col("s"))).alias("hw"))
+        some = staged(some.select("at", F.array_distinct(shingles(k)).alias("s")), f"{name}-sets")
         both = pairs.join(some.select(F.col("at").alias("later"), F.col("s").alias("a")), "later").join(some.select(F.col("at").alias("earlier"), F.col("s").alias("b")), "earlier")
         return both.where(F.size(F.array_intersect("a", "b")) * (num + den) >= (F.size("a") + F.size("b")) * num).select(F.col("later").alias("at")).distinct()
 
-    quick = postings.select(F.struct(*columns[:3]).alias("a"), F.col("head").alias("b")).where((F.col("a.at") > F.col("b.at")) & may_match("a", "b"))
+    quick = postings.select(F.struct("at", "n", "p").alias("a"), F.col("head").alias("b")).where((F.col("a.at") > F.col("b.at")) & may_match("a", "b"))
     settled = staged(matched(quick.select(F.col("a.at").alias("later"), F.col("b.at").alias("earlier")), "quick"), "settled")
     open_ = postings.drop("head").join(settled, "at", "left_anti").alias("a")
     # the head itself was tried above
     pairs = open_.join(postings.alias("b"), F.col("a.token") == F.col("b.token")).where((F.col("a.at") > F.col("b.at")) & (F.col("b.at") > F.col("b.head.at")) & may_match("a", "b"))
     rest = matched(pairs.select(F.col("a.at").alias("later"), F.col("b.at").alias("earlier")), "rest")
-    copies = lines.select("h1", "h2", place.alias("at")).join(sets.where("copies > 1").select("h1", "h2", F.col("at").alias("first")), ["h1", "h2"]).where("at > first").select("at")
-    return settled.unionByName(rest).unionByName(copies).select("at.dk", "at.line").distinct()
+    # copies aren't first of their sets, the others are: no line comes twice
+    return settled.unionByName(rest).select("at.dk", "at.line").unionByName(copies)
 
 
 def dedup_lines(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, k: int = SHINGLE) -> DataFrame:
