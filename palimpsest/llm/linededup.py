@@ -144,7 +144,7 @@ def repeated_lines(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR
     def matched(pairs: DataFrame, name: str) -> DataFrame:
         """at of the lines that match, of pairs (later, earlier): their sets are made anew from the texts."""
         pairs = staged(pairs.distinct(), f"{name}-pairs")
-        need = pairs.select(F.explode(F.array("later", "earlier")).alias("at")).distinct()
+        need = staged(pairs.select(F.explode(F.array("later", "earlier")).alias("at")).distinct(), f"{name}-need")
         texts = docs.select("doc", "dk", F.posexplode(F.split("text", "\n")).alias("line", "s"))
         texts = marked(texts, marks(need.select("at.dk", "at.line"), ["dk", "line"]), ["dk", "line"]).select(F.struct("doc", "dk", "line").alias("at"), "s")
         some = texts.join(need.hint("shuffle_hash"), "at").dropDuplicates(["at"]).select("at", hashed_words(words_of(F.col("s"))).alias("hw"))
