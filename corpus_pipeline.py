@@ -30,8 +30,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line go; every document stays, with what is left of it."""
-    return recounted(linededup.dedup_lines(docs), docs.columns)
+    """Lines that repeat an earlier line, short ones too, go; every document stays, with what is left of it."""
+    return recounted(linededup.dedup_lines(docs, whole=True), docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,9 +27,9 @@ MARK_ROWS = 1 << 16
 FREQUENT_RANK = 35
 
 
-def words_of(line: Column) -> Column:
-    """Words lie between spaces."""
-    return F.array_remove(F.split(line, " "), "")
+def words_of(line: Column, whole: bool = False) -> Column:
+    """Words lie between spaces; with whole, between any ASCII white space."""
+    return F.array_remove(F.split(line, "[\\x20\\x09-\\x0D]+" if whole else " "), "")
 
 
 def hashed_words(w: Column) -> Column:
@@ -41,10 +41,19 @@ def shingles(k: int) -> Column:
     return F.transform(F.slice("hw", F.lit(1), F.size("hw") - (k - 1)), lambda x, i: F.xxhash64(x, *(F.get("hw", i + j) for j in range(1, k))))
 
 
-def worded(docs: DataFrame) -> DataFrame:
+def line_tokens(k: int, whole: bool) -> Column:
+    """The k-word shingles of hw; with whole, hw may be shorter, and then has one token, the hash of all its words."""
+    if not whole:
+        return shingles(k)
+    longer = F.size("hw") >= k
+    starts = F.slice("hw", F.lit(1), F.greatest(F.size("hw") - (k - 1), F.lit(0)))
+    return F.when(longer, F.transform(starts, lambda x, i: F.xxhash64(x, *(F.get("hw", i + j) for j in range(1, k))))).otherwise(F.array(F.xxhash64(F.lit(2), F.col("hw"))))
+
+
+def worded(docs: DataFrame, whole: bool = False) -> DataFrame:
     """(doc, dk, line, w) of each line of docs (doc, dk, text), w being its words."""
     lines = docs.select("doc", "dk", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    return lines.select("doc", "dk", "line", words_of(F.col("s")).alias("w"))
+    return lines.select("doc", "dk", "line", words_of(F.col("s"), whole).alias("w"))
 
 
 def rarity_table(lines: DataFrame, k: int, bucket_count: int = RARITY_BUCKETS) -> bytearray:
@@ -106,17 +115,17 @@ def marked(df: DataFrame, filter_: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({"mark": row, "_bit": bit}).join(F.broadcast(filter_), "mark").where(F.expr("shiftrightunsigned(bits, _bit) & 1 = 1")).drop("mark", "_bit", "bits")
 
 
-def repeated_lines(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, k: int = SHINGLE) -> DataFrame:
+def repeated_lines(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, k: int = SHINGLE, whole: bool = False) -> DataFrame:
     """(dk, line) of every line of docs (doc, dk, text) that is similar to a line before it, in the order of (doc, dk, line).
 
     Equal token sets are compared once, as their first line. In a first round each set is held against the first line of
     each token of its prefix: as many pairs as postings, and large groups of near copies are mostly settled there. Only
     sets without a match are then compared with all lines before them.
     """
-    every = worded(docs)
+    every = worded(docs, whole)
     table = rarity_table(every, k)
     tokens = F.col("tokens")
-    lines = every.where(F.size("w") >= k).select("doc", "dk", "line", hashed_words(F.col("w")).alias("hw")).select("doc", "dk", "line", shingles(k).alias("h")).select("doc", "dk", "line", ranked("h", table).alias("tokens"))
+    lines = every.where(F.size("w") >= (1 if whole else k)).select("doc", "dk", "line", hashed_words(F.col("w")).alias("hw")).select("doc", "dk", "line", line_tokens(k, whole).alias("h")).select("doc", "dk", "line", ranked("h", table).alias("tokens"))
     prefix = F.slice(tokens, F.lit(1), F.size(tokens) - ceil_part(F.size(tokens), num, den) + 1)
     lines = lines.select("doc", "dk", "line", F.size(tokens).alias("n"), F.xxhash64(tokens).alias("h1"), F.xxhash64(F.lit(1), tokens).alias("h2"), prefix.alias("prefix"))
     lines = staged(lines, "lines")
@@ -147,8 +156,8 @@ def repeated_lines(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR
         need = staged(pairs.select(F.explode(F.array("later", "earlier")).alias("at")).distinct(), f"{name}-need")
         texts = docs.select("doc", "dk", F.posexplode(F.split("text", "\n")).alias("line", "s"))
         texts = marked(texts, marks(need.select("at.dk", "at.line"), ["dk", "line"]), ["dk", "line"]).select(F.struct("doc", "dk", "line").alias("at"), "s")
-        some = texts.join(need.hint("shuffle_hash"), "at").dropDuplicates(["at"]).select("at", hashed_words(words_of(F.col("s"))).alias("hw"))
-        some = staged(some.select("at", F.array_distinct(shingles(k)).alias("s")), f"{name}-sets")
+        some = texts.join(need.hint("shuffle_hash"), "at").dropDuplicates(["at"]).select("at", hashed_words(words_of(F.col("s"), whole)).alias("hw"))
+        some = staged(some.select("at", F.array_distinct(line_tokens(k, whole)).alias("s")), f"{name}-sets")
         both = pairs.join(some.select(F.col("at").alias("later"), F.col("s").alias("a")), "later").join(some.select(F.col("at").alias("earlier"), F.col("s").alias("b")), "earlier")
         return both.where(F.size(F.array_intersect("a", "b")) * (num + den) >= (F.size("a") + F.size("b")) * num).select(F.col("later").alias("at")).distinct()
 
@@ -162,26 +171,27 @@ def repeated_lines(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR
     return settled.unionByName(rest).select("at.dk", "at.line").unionByName(copies)
 
 
-def dedup_lines(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, k: int = SHINGLE) -> DataFrame:
+def dedup_lines(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, k: int = SHINGLE, whole: bool = False) -> DataFrame:
     """docs (doc_id, text, other columns) without the lines that repeat an earlier line, and n_lines, n_removed for each row.
 
     A line of k words or more goes if the set of its k-word shingles has a Jaccard similarity of num / den or more with
     that of any line before it, in the order of doc_id (null first), a hash of the text, and line; words lie between
-    spaces, lines between \\n. Shorter lines stay. The same text repeated under one doc_id keeps its lines in one row
-    alone. Null text stays null, with 0 lines; a text may become empty. An empty table gives no rows. Columns named
-    n_lines or n_removed are replaced.
+    spaces, lines between \\n. Shorter lines stay, unless whole is set: then words lie between any ASCII white space, a
+    shorter line goes if one before it has the same words, and only lines without a word always stay. The same text
+    repeated under one doc_id keeps its lines in one row alone. Null text stays null, with 0 lines; a text may become
+    empty. An empty table gives no rows. Columns named n_lines or n_removed are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
     keyed = docs.withColumn("_dk", F.xxhash64(F.lit(3), "doc_id", F.col("doc_id").isNull(), "text"))
     slim = keyed.where("text is not null").select(F.col("doc_id").alias("doc"), F.col("_dk").alias("dk"), "text")
-    gone = repeated_lines(slim, num, den, k).groupBy(F.col("dk").alias("_dk")).agg(F.collect_set("line").alias("_gone"))
+    gone = repeated_lines(slim, num, den, k, whole).groupBy(F.col("dk").alias("_dk")).agg(F.collect_set("line").alias("_gone"))
     joined = keyed.join(gone.hint("shuffle_hash"), "_dk", "left")
     if keyed.groupBy("_dk").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         again = F.lit(False)
     else:
         again = F.row_number().over(Window.partitionBy("_dk").orderBy("_dk")) > 1
     joined = joined.withColumns({"_lines": F.split("text", "\n"), "_again": again})
-    long_ = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.size(words_of(F.get("_lines", i))) >= k)
+    long_ = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.size(words_of(F.get("_lines", i), whole)) >= (1 if whole else k))
     joined = joined.withColumn("_gone", F.when(F.col("_again"), long_).otherwise(F.coalesce("_gone", F.array().cast("array<int>"))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
     text = F.when(F.size("_gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))

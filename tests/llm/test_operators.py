@@ -284,6 +284,34 @@ def test_line_dedup_frequent_tokens(spark, monkeypatch):
     assert [got[i] for i in range(len(items))] == slow_lines(items)
 
 
+def test_line_dedup_of_whole_lines(spark):
+    rng = random.Random(8)
+    lines = [[f"w{rng.randrange(300)}" for _ in range(rng.randrange(1, 20))] for _ in range(25)]
+    items = ["\n".join(rng.choice((" ", "\t", " \r")).join(varied(rng, rng.choice(lines), rng.choice((0, 0, 0, 1))).split(" ")) for _ in range(rng.randrange(1, 6))) for _ in range(60)]
+    items += ["一行没有空格的文字", "a\n\n\nb", "一行没有空格的文字\nb ", None, "\t"]
+    seen, want = [], []
+    for text in items:
+        kept = []
+        for line in (text or "").split("\n"):
+            w = line.split()
+            s = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+            if not s or not any(10 * len(s & t) >= 8 * len(s | t) for t in seen):
+                kept.append(line)
+            seen.append(s)
+        want.append(None if text is None else "\n".join(kept))
+    got = {r["doc_id"]: r["text"] for r in rows(linededup.dedup_lines(spark.createDataFrame(list(enumerate(items)), "doc_id long, text string"), whole=True))}
+    assert [got[i] for i in range(len(items))] == want
+    assert want[-5:] == ["一行没有空格的文字", "a\n\n\nb", "", None, "\t"]
+
+
+def test_line_stage_drops_short_repeats(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "read more\na\tb\tc\td\te"), (2, "read more\na b c d e\nkept")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in rows(corpus_pipeline.line_stage(spark, docs, SF))}
+    assert got == {1: "read more\na\tb\tc\td\te", 2: "kept"}
+
+
 def test_line_dedup_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
