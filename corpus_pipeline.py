@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import linededup, packing, quality, secretscan, simhash
+from palimpsest.llm import linededup, neardocs, packing, quality, secretscan, simhash
 from palimpsest.llm.common import staged
 
 TOKENIZER = "word_bpe_49k.json"
@@ -35,8 +35,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8) stays."""
+    return simhash.first_of_each(docs, neardocs.similar_documents(docs))
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

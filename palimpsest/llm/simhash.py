@@ -220,7 +220,11 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of docs from each component: that of the smallest doc_id (null last), then of the smallest key of doc_id and text; of equal ones any."""
-    groups = near_duplicates(docs, radius)
+    return first_of_each(docs, near_duplicates(docs, radius))
+
+
+def first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """One row of docs from each component of groups (doc_id, row_key, component), chosen as in one_of_each."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row_key"))
     lead = groups.groupBy("component").agg(first.alias("lead")).select(F.col("lead.row_key").alias("_key"))
     keyed = docs.withColumn("_key", row_key()).join(lead, "_key", "left_semi")

@@ -15,7 +15,7 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from palimpsest.llm import chat, htmlmain, linededup, media, packing, piecebpe, quality, queries, secretscan, sharding, simhash
+from palimpsest.llm import chat, htmlmain, linededup, media, neardocs, packing, piecebpe, quality, queries, secretscan, sharding, simhash
 from palimpsest.llm.common import running_total
 from palimpsest.llm.components import connected_components
 
@@ -325,6 +325,43 @@ def test_line_dedup_is_native(spark, docs):
     assert not re.search("Python|Arrow|Pandas", plan)
 
 
+# Near-duplicate documents
+
+
+def slow_groups(items, k=5):
+    """The least position of each text's group, by comparing every text with all others."""
+    sets = []
+    for text in items:
+        w = (text or "").lower().split()
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))})
+    group = list(range(len(items)))
+    for i, s in enumerate(sets):
+        for j in range(i):
+            if group[i] != group[j] and 10 * len(s & sets[j]) >= 8 * len(s | sets[j]):
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if x == old else x for x in group]
+    return group
+
+
+@pytest.mark.parametrize("frequent", [linededup.FREQUENT_RANK, 3])
+def test_similar_documents_against_brute_force(spark, none, monkeypatch, frequent):
+    import corpus_pipeline
+
+    monkeypatch.setattr(neardocs, "FREQUENT_RANK", frequent)
+    rng = random.Random(9)
+    bases = [[f"w{rng.randrange(400)}" for _ in range(rng.randrange(2, 120))] for _ in range(12)]
+    items = [varied(rng, rng.choice(bases), rng.choice((0, 1, 2, 3))) for _ in range(90)] + [None, "", " \t", "one two", "One\ttwo"]
+    docs = spark.createDataFrame(list(enumerate(items)), "doc_id long, text string")
+    want = slow_groups(items)
+    assert 10 < len(set(want)) < 70
+    by = {}
+    for r in rows(neardocs.similar_documents(docs)):
+        by.setdefault(r["component"], set()).add(r["doc_id"])
+    assert sorted(map(sorted, by.values())) == sorted([i for i, x in enumerate(want) if x == g] for g in set(want))
+    assert sorted(r["doc_id"] for r in rows(corpus_pipeline.near_stage(spark, docs, SF))) == sorted(set(want))
+    assert neardocs.similar_documents(none).count() == 0
+
+
 # Sharding
 
 
