@@ -30,7 +30,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_KEY = re.compile(r"(?:[0-9A-Fa-f]{2}){32,}")
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)KEY-----([A-Za-z0-9+/=\s]*)-----END \1KEY-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)KEY-----((?:[A-Za-z0-9+/=\s]|\\[nr])*)-----END \1KEY-----")
 #: Names of algorithms in headers of signed tokens (fixed values, RFC 7518 and RFC 8037).
 ALGORITHMS = {"HS256", "HS384", "HS512", "RS256", "RS384", "RS512", "ES256", "ES384", "ES512", "PS256", "PS384", "PS512", "EdDSA", "none"}
 
@@ -158,7 +158,7 @@ def structural_spans(text: str) -> list[tuple[int, int, str]]:
         out += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_signed_token(m[0])]
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            lines = [x for x in m[2].split() if x]
+            lines = m[2].replace("\\n", " ").replace("\\r", " ").split()  # as in JSON and source strings
             if kind := key_kind(decoded64("".join(lines))):
                 out.append((m.start(), m.end(), kind))
     # DER begins with 0x30 and a length, OpenSSH keys with their name: so begins their base64 or hexadecimal form
