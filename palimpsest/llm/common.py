@@ -9,13 +9,16 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset and all run in one process (tests)."""
     sc = spark.sparkContext
     if folder := sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir():
         return folder
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="palimpsest-"))
     return sc.getCheckpointDir()
 
@@ -39,6 +42,29 @@ def drop_staged(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(docs: DataFrame, most: int) -> DataFrame:
+    """(no, row): row holds the columns of docs (doc_id, text, others), no >= 0 tells rows apart and is under most.
+
+    Numbers rise with doc_id (null first), then with a hash of the text. Whole doc_ids without null or repeat are taken as
+    they are, less the least; else rows are sorted by ranges into a staged table and numbered there, range by range.
+    """
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    if isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        s = docs.agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("greatest"), F.sum(F.col("doc_id").isNull().cast("int")).alias("nulls")).first()
+        fits = s["least"] is not None and not s["nulls"] and s["greatest"] - s["least"] < most
+        if fits and docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+            return docs.select((F.col("doc_id").cast("long") - F.lit(s["least"])).alias("no"), row)
+    keys = docs.select(F.col("doc_id").alias("_d"), F.xxhash64("text").alias("_h"), F.xxhash64(F.monotonically_increasing_id()).alias("_salt"), row)
+    order = ["_d", "_h", "_salt"]  # the salt deals out many rows of one doc_id and text
+    placed = keys.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = staged(placed.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("nth"), "row"), "numbered")
+    s = placed.agg(F.max("part").alias("part"), F.max("nth").alias("nth")).first()
+    width = (s["nth"] or 0) + 1
+    if ((s["part"] or 0) + 1) * width > most:
+        raise ValueError("rows and lines are too many to number in 63 bits")
+    return placed.select((F.col("part").cast("long") * width + F.col("nth")).alias("no"), "row")
+
+
 def running_total(df: DataFrame, keys: list[str], salt: Column, order: list[str], weight: Column, out: str) -> DataFrame:
     """Adds out: the sum of weight over the rows of the same keys that come before, in the order of (salt, *order).
 

@@ -1,198 +1,90 @@
 """Removal of repeated lines by an exact set-similarity join, with DataFrame functions only.
 
-A line's tokens are its distinct five-word shingles, ordered by rarity over the corpus. Two lines of Jaccard similarity
-num / den or more share a token in their prefixes, the rarest n - ceil(t n) + 1 tokens; so only prefixes are joined, and
-the positional and length filters bound the overlap before the sets themselves are compared.
-
-Lines are told apart by place: doc_id, a 64-bit hash of doc_id and text, and the number of the line. Tokens are 56-bit
-hashes under a byte of rarity.
+A line's tokens are its distinct five-word shingles, ordered by rarity over the corpus; prefixes are joined under the
+positional and length filters, and what is left is verified by the Jaccard similarity of the sets themselves. A line has
+one number, its document's number times a bound of lines plus its place, so that numbers rise in reading order
+and rows of the join are a few plain numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, staged
-
-#: Similarity, as a fraction of whole numbers so that bounds are exact; words of a shingle.
-NUMERATOR, DENOMINATOR, SHINGLE = 8, 10, 5
-#: Buckets of the table of token counts: its size in bytes, which every task gets.
-RARITY_BUCKETS = 1 << 18
-#: Buckets that are counted side by side in a row; both are powers of two.
-COUNTERS = 8
-#: Rows of 64 bits of the filters that spare lines and texts without a candidate a shuffle: at most 2 MB are broadcast.
-MARK_ROWS = 1 << 16
-#: Ranks from here on (counts of about 2 ** 17) may be tokens of very many lines; those below are of fewer than that.
-FREQUENT_RANK = 35
-
-
-def words_of(line: Column, whole: bool = False) -> Column:
-    """Words lie between spaces; with whole, between any ASCII white space."""
-    return F.array_remove(F.split(line, "[\\x20\\x09-\\x0D]+" if whole else " "), "")
-
-
-def hashed_words(w: Column) -> Column:
-    return F.transform(w, lambda x: F.xxhash64(x))
-
-
-def shingles(k: int) -> Column:
-    """Hashes of the k-word shingles of hw, an array of at least k hashes of words; repeats included."""
-    return F.transform(F.slice("hw", F.lit(1), F.size("hw") - (k - 1)), lambda x, i: F.xxhash64(x, *(F.get("hw", i + j) for j in range(1, k))))
-
-
-def line_tokens(k: int, whole: bool) -> Column:
-    """The k-word shingles of hw; with whole, hw may be shorter, and then has one token, the hash of all its words."""
-    if not whole:
-        return shingles(k)
-    longer = F.size("hw") >= k
-    starts = F.slice("hw", F.lit(1), F.greatest(F.size("hw") - (k - 1), F.lit(0)))
-    return F.when(longer, F.transform(starts, lambda x, i: F.xxhash64(x, *(F.get("hw", i + j) for j in range(1, k))))).otherwise(F.array(F.xxhash64(F.lit(2), F.col("hw"))))
-
-
-def worded(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """(doc, dk, line, w) of each line of docs (doc, dk, text), w being its words."""
-    lines = docs.select("doc", "dk", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-    return lines.select("doc", "dk", "line", words_of(F.col("s"), whole).alias("w"))
-
-
-def rarity_table(lines: DataFrame, k: int, bucket_count: int = RARITY_BUCKETS) -> bytearray:
-    """For each bucket of token hashes, a byte that rises with the logarithm of its count over all lines (of w). The driver gets a row per COUNTERS buckets."""
-    # shingles are hashed from their places here, not as an array: that keeps the whole pass in generated code
-    places = lines.where(F.size("w") >= k).select("w", F.explode(F.sequence(F.lit(0), F.size("w") - k)).alias("i"))
-    tokens = places.select(F.xxhash64(*(F.xxhash64(F.get("w", F.col("i") + j)) for j in range(k))).alias("h"))
-    # a group counts several buckets, so that the groups fit the map that generated code keeps for them
-    bucket = F.col("h").bitwiseAND(bucket_count - 1).cast("int")
-    within = bucket.bitwiseAND(COUNTERS - 1)
-    groups = tokens.groupBy(F.shiftright(bucket, COUNTERS.bit_length() - 1).alias("group"))
-    counts = groups.agg(*(F.sum((within == j).cast("long")).alias(f"n{j}") for j in range(COUNTERS))).toArrow()
-    table = bytearray(bucket_count)
-    group = counts.column("group").to_pylist()
-    for j in range(COUNTERS):
-        for g, n in zip(group, counts.column(f"n{j}").to_pylist(), strict=True):
-            table[g * COUNTERS + j] = rank_of(n)
-    return table
-
+from .common import drop_staged, numbered, staged
+from .setjoin import DENOMINATOR, FREQUENT_RANK, NUMERATOR, SHINGLE, among, hashed_words, headed, may_match, postings, prefix, ranked, rarity_table, shingles, similar, spaced, without, words_of
 
-def rank_of(n: int) -> int:
-    """1 for a count of 0 or 1, 2 more for each doubling, 121 at most."""
-    return min((n * n).bit_length() - 1 if n > 1 else 0, 120) + 1
 
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(id, s) of each line of docs (id, text), id of a document being that of its first line."""
+    lines = docs.select("id", F.posexplode(F.split(spaced(F.col("text")), "\n")).alias("line", "s"))
+    return lines.select((F.col("id") + F.col("line")).alias("id"), "s")
 
-def ranked(hashes: str, table: bytearray) -> Column:
-    """The distinct tokens in rising order of rarity rank, then hash."""
-    literal = F.lit(table)
 
-    def key(h: Column) -> Column:
-        # no function here may give null: arrays without nulls are sorted as plain numbers
-        rank = F.ascii(F.substring(literal, h.bitwiseAND(len(table) - 1).cast("int") + 1, 1).cast("string"))
-        return F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
-
-    return F.sort_array(F.array_distinct(F.transform(hashes, key)))
-
-
-def ceil_part(n: Column, num: int, den: int) -> Column:
-    """ceil(num n / den), in whole numbers."""
-    up = n * num + (den - 1)
-    return ((up - F.pmod(up, F.lit(den))) / den).cast("int")
-
-
-def slot(columns: list[str]) -> tuple[Column, Column]:
-    """Of a key: the row of the table of marks, and its bit there."""
-    h = F.xxhash64(F.lit(5), *columns)
-    return h.bitwiseAND(MARK_ROWS - 1).cast("int"), F.shiftrightunsigned(h, 58).cast("int")
-
-
-def marks(keys: DataFrame, columns: list[str]) -> DataFrame:
-    """(mark, bits), a Bloom filter of keys with one hash: MARK_ROWS rows at most, however many keys there are."""
-    row, bit = slot(columns)
-    return keys.select(row.alias("mark"), bit.alias("b")).groupBy("mark").agg(F.expr("bit_or(shiftleft(1L, b))").alias("bits"))
-
-
-def marked(df: DataFrame, filter_: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of df whose key may be in the filter: all that are, and few others while most bits are unset."""
-    row, bit = slot(columns)
-    return df.withColumns({"mark": row, "_bit": bit}).join(F.broadcast(filter_), "mark").where(F.expr("shiftrightunsigned(bits, _bit) & 1 = 1")).drop("mark", "_bit", "bits")
-
-
-def repeated_lines(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, k: int = SHINGLE, whole: bool = False) -> DataFrame:
-    """(dk, line) of every line of docs (doc, dk, text) that is similar to a line before it, in the order of (doc, dk, line).
+def repeated_lines(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, k: int = SHINGLE) -> DataFrame:
+    """id of every line of docs (id, text) that is similar to a line of smaller id, each once.
 
     Equal token sets are compared once, as their first line. In a first round each set is held against the first line of
     each token of its prefix: as many pairs as postings, and large groups of near copies are mostly settled there. Only
     sets without a match are then compared with all lines before them.
     """
-    every = worded(docs, whole)
+    every = lines_of(docs).select("id", hashed_words(words_of(F.col("s"))).alias("hw"))
     table = rarity_table(every, k)
     tokens = F.col("tokens")
-    lines = every.where(F.size("w") >= (1 if whole else k)).select("doc", "dk", "line", hashed_words(F.col("w")).alias("hw")).select("doc", "dk", "line", line_tokens(k, whole).alias("h")).select("doc", "dk", "line", ranked("h", table).alias("tokens"))
-    prefix = F.slice(tokens, F.lit(1), F.size(tokens) - ceil_part(F.size(tokens), num, den) + 1)
-    lines = lines.select("doc", "dk", "line", F.size(tokens).alias("n"), F.xxhash64(tokens).alias("h1"), F.xxhash64(F.lit(1), tokens).alias("h2"), prefix.alias("prefix"))
-    lines = staged(lines, "lines")
-    sets = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc", "dk", "line")).alias("at"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    sets = staged(sets.select("h1", "h2", "at.*", "copies", "n", "prefix"), "sets")
-    copies = lines.select("h1", "h2", F.struct("doc", "dk", "line").alias("at")).join(sets.where("copies > 1").select("h1", "h2", F.struct("doc", "dk", "line").alias("first")), ["h1", "h2"]).where("at > first").select("at.dk", "at.line")
-    copies = staged(copies, "copies")
+    lines = every.select("id", F.size("hw").alias("words"), shingles(k).alias("h")).select("id", "words", ranked("h", table).alias("tokens"))
+    # a line under k words is only like one of the same words, so it needs no postings
+    some = F.when(F.col("words") >= k, prefix(tokens, num, den)).otherwise(F.array().cast("array<long>"))
+    lines = lines.select("id", "words", F.size(tokens).alias("n"), F.xxhash64(tokens).alias("h1"), F.xxhash64(F.lit(1), tokens).alias("h2"), some.alias("prefix"))
+    lines = staged(lines, "lines").where("words > 0")
+    firsts = lines.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("h1", "h2", "first")
+    firsts = staged(firsts, "firsts")  # else the join would use the aggregate's partitions, and Spark couldn't split a hot one
+    copies = staged(lines.select("h1", "h2", "id").join(firsts, ["h1", "h2"]).where("id > first").select("id"), "copies")
+    drop_staged(firsts)
+    held = headed(postings(without(lines.where(F.col("words") >= k).select("id", "n", "prefix"), copies, ["id"])), max(table) >= FREQUENT_RANK, "lines")
     drop_staged(lines)
 
-    # a posting's n and p in one number: these rows are most of what is shuffled
-    postings = sets.select("doc", "dk", "line", "n", F.posexplode("prefix").alias("p", "token")).select("doc", "dk", "line", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p")).alias("np"), "token")
-    frequent = F.shiftright("token", 56) >= FREQUENT_RANK
-    rare = postings.where(~frequent).withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df")
-    postings = staged(rare.unionByName(postings.where(frequent)), "postings")
-    drop_staged(sets)
-    postings = postings.select(F.struct("doc", "dk", "line").alias("at"), F.shiftright("np", 32).cast("int").alias("n"), F.col("np").bitwiseAND(0xFFFFFFFF).cast("int").alias("p"), "token")
-    heads = postings.groupBy("token").agg(F.min(F.struct("at", "n", "p")).alias("head"), F.count("*").alias("df")).where("df > 1").select("token", "head")
-    postings = staged(postings.join(heads, "token"), "headed")
-
-    def may_match(a: str, b: str) -> Column:
-        an, bn, ap, bp = F.col(f"{a}.n"), F.col(f"{b}.n"), F.col(f"{a}.p"), F.col(f"{b}.p")
-        length = (an * den >= bn * num) & (bn * den >= an * num)
-        return length & (F.least(an - ap, bn - bp) * (num + den) >= (an + bn) * num)
-
     def matched(pairs: DataFrame, name: str) -> DataFrame:
-        """at of the lines that match, of pairs (later, earlier): their sets are made anew from the texts."""
+        """u of the pairs (u, v) that match: their sets are made anew from the texts."""
         pairs = staged(pairs.distinct(), f"{name}-pairs")
-        need = staged(pairs.select(F.explode(F.array("later", "earlier")).alias("at")).distinct(), f"{name}-need")
-        texts = docs.select("doc", "dk", F.posexplode(F.split("text", "\n")).alias("line", "s"))
-        texts = marked(texts, marks(need.select("at.dk", "at.line"), ["dk", "line"]), ["dk", "line"]).select(F.struct("doc", "dk", "line").alias("at"), "s")
-        some = texts.join(need.hint("shuffle_hash"), "at").dropDuplicates(["at"]).select("at", hashed_words(words_of(F.col("s"), whole)).alias("hw"))
-        some = staged(some.select("at", F.array_distinct(line_tokens(k, whole)).alias("s")), f"{name}-sets")
-        both = pairs.join(some.select(F.col("at").alias("later"), F.col("s").alias("a")), "later").join(some.select(F.col("at").alias("earlier"), F.col("s").alias("b")), "earlier")
-        return both.where(F.size(F.array_intersect("a", "b")) * (num + den) >= (F.size("a") + F.size("b")) * num).select(F.col("later").alias("at")).distinct()
-
-    quick = postings.select(F.struct("at", "n", "p").alias("a"), F.col("head").alias("b")).where((F.col("a.at") > F.col("b.at")) & may_match("a", "b"))
-    settled = staged(matched(quick.select(F.col("a.at").alias("later"), F.col("b.at").alias("earlier")), "quick"), "settled")
-    open_ = postings.drop("head").join(settled, "at", "left_anti").alias("a")
-    # the head itself was tried above
-    pairs = open_.join(postings.alias("b"), F.col("a.token") == F.col("b.token")).where((F.col("a.at") > F.col("b.at")) & (F.col("b.at") > F.col("b.head.at")) & may_match("a", "b"))
-    rest = matched(pairs.select(F.col("a.at").alias("later"), F.col("b.at").alias("earlier")), "rest")
+        need = staged(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), f"{name}-need")
+        sets = among(lines_of(docs), need, ["id"]).select("id", hashed_words(words_of(F.col("s"))).alias("hw"))
+        sets = staged(sets.select("id", F.array_distinct(shingles(k)).alias("s")), f"{name}-sets")
+        out = staged(similar(pairs, sets, num, den).select(F.col("u").alias("id")).distinct(), name)
+        for x in (pairs, need, sets):
+            drop_staged(x)
+        return out
+
+    quick = matched(held.where(may_match("np", "head_np", num, den)).select(F.col("id").alias("u"), F.col("head").alias("v")), "quick")
+    a, b = held.join(quick, "id", "left_anti").select("token", "id", "np").alias("a"), held.select("token", "id", "np").alias("b")
+    # heads were tried above, and are not among these rows
+    pairs = a.join(b, "token").where((F.col("a.id") > F.col("b.id")) & may_match("a.np", "b.np", num, den))
+    rest = matched(pairs.select(F.col("a.id").alias("u"), F.col("b.id").alias("v")), "rest")
+    drop_staged(held)
     # copies aren't first of their sets, the others are: no line comes twice
-    return settled.unionByName(rest).select("at.dk", "at.line").unionByName(copies)
+    return quick.unionByName(rest).unionByName(copies)
 
 
-def dedup_lines(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, k: int = SHINGLE, whole: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, k: int = SHINGLE) -> DataFrame:
     """docs (doc_id, text, other columns) without the lines that repeat an earlier line, and n_lines, n_removed for each row.
 
-    A line of k words or more goes if the set of its k-word shingles has a Jaccard similarity of num / den or more with
-    that of any line before it, in the order of doc_id (null first), a hash of the text, and line; words lie between
-    spaces, lines between \\n. Shorter lines stay, unless whole is set: then words lie between any ASCII white space, a
-    shorter line goes if one before it has the same words, and only lines without a word always stay. The same text
-    repeated under one doc_id keeps its lines in one row alone. Null text stays null, with 0 lines; a text may become
-    empty. An empty table gives no rows. Columns named n_lines or n_removed are replaced.
+    Lines lie between \\n, words between ASCII white space. A line of k words or more goes if the set of its k-word
+    shingles has a Jaccard similarity of num / den or more with that of any line before it, removed or not, in the order
+    of doc_id (null first), a hash of the text, and line; a shorter one if a line before it has the same words. Lines
+    without a word stay. A repeated row loses all its lines with words. Null text stays null, with 0 lines; a text may
+    become empty. An empty table gives no rows. Columns named n_lines or n_removed are replaced, others are kept.
     """
     docs = docs.drop("n_lines", "n_removed")
-    keyed = docs.withColumn("_dk", F.xxhash64(F.lit(3), "doc_id", F.col("doc_id").isNull(), "text"))
-    slim = keyed.where("text is not null").select(F.col("doc_id").alias("doc"), F.col("_dk").alias("dk"), "text")
-    gone = repeated_lines(slim, num, den, k, whole).groupBy(F.col("dk").alias("_dk")).agg(F.collect_set("line").alias("_gone"))
-    joined = keyed.join(gone.hint("shuffle_hash"), "_dk", "left")
-    if keyed.groupBy("_dk").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        again = F.lit(False)
-    else:
-        again = F.row_number().over(Window.partitionBy("_dk").orderBy("_dk")) > 1
-    joined = joined.withColumns({"_lines": F.split("text", "\n"), "_again": again})
-    long_ = F.filter(F.sequence(F.lit(0), F.size("_lines") - 1), lambda i: F.size(words_of(F.get("_lines", i), whole)) >= (1 if whole else k))
-    joined = joined.withColumn("_gone", F.when(F.col("_again"), long_).otherwise(F.coalesce("_gone", F.array().cast("array<int>"))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    text = F.when(F.size("_gone") == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n"))
-    return joined.withColumns({"text": F.when(F.col("text").isNotNull(), text), "n_lines": F.when(F.col("text").isNull(), 0).otherwise(F.size("_lines")).cast("long"), "n_removed": F.when(F.col("text").isNull(), 0).otherwise(F.size("_gone")).cast("long")}).select(*docs.columns, "n_lines", "n_removed")
+    most = docs.agg(F.max(F.octet_length("text")).alias("n")).first()["n"]
+    stride = (most or 0) + 1  # more than any document has lines
+    rows = numbered(docs, (1 << 63) // stride)
+    text = F.col("row.text")
+    gone = repeated_lines(rows.where(text.isNotNull()).select((F.col("no") * stride).alias("id"), text.alias("text")), num, den, k)
+    gone = gone.select(F.expr(f"id div {stride}L").alias("no"), F.pmod("id", F.lit(stride)).cast("int").alias("line"))
+    rows = rows.join(gone.groupBy("no").agg(F.collect_list("line").alias("gone")).hint("shuffle_hash"), "no", "left")
+    rows = rows.withColumn("lines", F.split(text, "\n"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "gone")
+    left = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.size("lines")).cast("long")
+    removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
+    out = rows.select(F.col("row").withField("text", left).alias("row"), n_lines.alias("n_lines"), removed.alias("n_removed"))
+    return out.select("row.*", "n_lines", "n_removed")

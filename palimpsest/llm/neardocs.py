@@ -1,84 +1,76 @@
-"""Groups of near-duplicate documents by an exact set-similarity join, with DataFrame functions only.
+"""Links that fingerprints can't show: an exact set-similarity join of documents, with DataFrame functions only.
 
-The join is that of line dedup, with a document for a line: texts of Jaccard similarity num / den or more share a token
-in their prefixes. Every such pair links two documents, and groups are the connected documents. In a first round each set
-is held against the first set of each token of its prefix; then pairs are only made of sets in different groups, so that a
-large group of near copies is not compared with itself.
+The join is that of line dedup, with a document for a line. It begins from groups that are known already (by SimHash),
+links equal sets, then holds each set against the first set of each token of its prefix, and at last makes pairs of sets
+in different groups only, so that a large group of near copies is not compared with itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_staged, staged
 from .components import connected_components
-from .linededup import DENOMINATOR, FREQUENT_RANK, NUMERATOR, SHINGLE, ceil_part, hashed_words, line_tokens, marked, marks, ranked, rarity_table, words_of
-from .simhash import row_key
+from .setjoin import DENOMINATOR, FREQUENT_RANK, NUMERATOR, SHINGLE, among, hashed_words, headed, may_match, postings, prefix, ranked, rarity_table, shingles, similar, spaced, without, words_of
 
 
-def worded(docs: DataFrame) -> DataFrame:
-    """docs (text) with w, its words in lower case; null text counts as empty."""
-    return docs.withColumn("w", words_of(F.lower(F.coalesce("text", F.lit(""))), whole=True)).drop("text")
+def worded(texts: DataFrame) -> DataFrame:
+    """(id, hw) of texts (id, text), hw the hashes of the words in lower case; null text counts as empty."""
+    flat = F.replace(spaced(F.lower(F.coalesce("text", F.lit("")))), F.lit("\n"), F.lit(" "))
+    return texts.select("id", hashed_words(words_of(flat)).alias("hw"))
 
 
-def links(pairs: DataFrame, sets: DataFrame, docs: DataFrame, num: int, den: int, k: int, name: str) -> DataFrame:
-    """The pairs (u, v) of sets (id, row_key) that are similar: their tokens are made anew from the texts of docs (row_key, text)."""
-    pairs = staged(pairs.distinct(), f"{name}-pairs")
-    need = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct().join(sets.select("id", "row_key"), "id")
-    need = staged(need, f"{name}-need")
-    some = marked(docs.select("row_key", "text"), marks(need.select("row_key"), ["row_key"]), ["row_key"])
-    some = some.join(need.hint("shuffle_hash"), "row_key").dropDuplicates(["id"])
-    some = worded(some).select("id", hashed_words(F.col("w")).alias("hw")).select("id", F.array_distinct(line_tokens(k, True)).alias("s"))
-    some = staged(some, f"{name}-sets")
-    both = pairs.join(some.select(F.col("id").alias("u"), F.col("s").alias("a")), "u").join(some.select(F.col("id").alias("v"), F.col("s").alias("b")), "v")
-    return staged(both.where(F.size(F.array_intersect("a", "b")) * (num + den) >= (F.size("a") + F.size("b")) * num).select("u", "v"), f"{name}-links")
+def merged(labels: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """labels (id, component), the groups of linked (u, v) ids made one: component becomes the least of theirs."""
+    u, v = (labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "uv")
+    roots = connected_components(links.join(u, "u").join(v, "v").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    out = labels.join(roots.select(F.col("node").alias("component"), "root"), "component", "left")
+    return staged(out.select("id", F.coalesce("root", "component").alias("component")), name)
 
 
-def labelled(df: DataFrame, roots: DataFrame) -> DataFrame:
-    """df (id) with component, the root of its group."""
-    return df.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("root", "id")).drop("root")
-
-
-def similar_documents(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, row_key, component) of each row of docs (doc_id, text): rows are linked if their sets of k-word shingles have a Jaccard similarity of num / den or more.
+def similar_groups(texts: DataFrame, labels: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, k: int = SHINGLE) -> DataFrame:
+    """labels (id, component), where groups are one if texts (id, text) of theirs have sets of k-word shingles of Jaccard similarity num / den or more.
 
     Words are in lower case and lie between ASCII white space; a text of fewer than k words has one token, all its words,
-    and all texts without a word are alike. Null text counts as empty. component is a hash of one of the group's sets.
-    Repeated rows stay. An empty table gives no rows.
+    and all texts without a word are alike. Null text counts as empty. component is the least id of the group. Ids of
+    labels are those of texts, each once. An empty table gives no rows.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.col("text").cast("string").alias("text"))
-    words = worded(docs)
+    words = worded(texts)
     table = rarity_table(words, k)
-    n = F.size("tokens")
-    rows = words.select("doc_id", "row_key", hashed_words(F.col("w")).alias("hw")).select("doc_id", "row_key", line_tokens(k, True).alias("h")).select("doc_id", "row_key", ranked("h", table).alias("tokens"))
-    rows = staged(rows.select("doc_id", "row_key", F.xxhash64("tokens").alias("id"), n.alias("n"), F.slice("tokens", F.lit(1), n - ceil_part(n, num, den) + 1).alias("prefix")), "documents")
-    # equal sets are compared once
-    sets = staged(rows.groupBy("id").agg(F.min("row_key").alias("row_key"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "distinct")
-    postings = sets.select("id", "n", F.posexplode("prefix").alias("p", "token"))
-    frequent = F.shiftright("token", 56) >= FREQUENT_RANK
-    rare = postings.where(~frequent).withColumn("df", F.count("*").over(Window.partitionBy("token"))).where("df > 1").drop("df")
-    postings = staged(rare.unionByName(postings.where(frequent)), "postings")
-    heads = postings.groupBy("token").agg(F.min(F.struct("id", "n", "p")).alias("head"), F.count("*").alias("df")).where("df > 1").select("token", "head")
-    headed = staged(postings.join(heads, "token"), "headed")
-    drop_staged(postings)
+    tokens = F.col("tokens")
+    rows = words.select("id", F.size("hw").alias("words"), shingles(k).alias("h")).select("id", "words", ranked("h", table).alias("tokens"))
+    some = F.when(F.col("words") >= k, prefix(tokens, num, den)).otherwise(F.array().cast("array<long>"))
+    rows = rows.select("id", "words", F.size(tokens).alias("n"), F.xxhash64(tokens).alias("h1"), F.xxhash64(F.lit(1), tokens).alias("h2"), some.alias("prefix"))
+    rows = staged(rows, "near-sets")
+    firsts = rows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("h1", "h2", "first")
+    firsts = staged(firsts, "near-firsts")
+    copies = staged(rows.select("h1", "h2", "id").join(firsts, ["h1", "h2"]).where("id > first").select("id", "first"), "near-copies")
+    drop_staged(firsts)
+    labels = merged(labels, copies.select(F.col("id").alias("u"), F.col("first").alias("v")), "near-labels")
+    held = headed(postings(without(rows.where(F.col("words") >= k).select("id", "n", "prefix"), copies.select("id"), ["id"])), max(table) >= FREQUENT_RANK, "near")
+    drop_staged(rows)
 
-    def may_match(an: Column, ap: Column, bn: Column, bp: Column) -> Column:
-        length = (an * den >= bn * num) & (bn * den >= an * num)
-        return length & (F.least(an - ap, bn - bp) * (num + den) >= (an + bn) * num)
+    def linked(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (u, v) of different groups that are similar: their sets are made anew from the texts."""
+        u, v = (labels.select(F.col("id").alias(x), F.col("component").alias(f"c{x}")) for x in "uv")
+        pairs = staged(pairs.distinct().join(u, "u").join(v, "v").where("cu <> cv").select("u", "v"), f"{name}-pairs")
+        need = staged(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), f"{name}-need")
+        sets = staged(worded(among(texts.select("id", "text"), need, ["id"])).select("id", F.array_distinct(shingles(k)).alias("s")), f"{name}-sets")
+        out = staged(similar(pairs, sets, num, den), f"{name}-links")
+        for x in (pairs, need, sets):
+            drop_staged(x)
+        return out
 
-    head = F.col("head")
-    quick = headed.where((F.col("id") != head["id"]) & may_match(F.col("n"), F.col("p"), head["n"], head["p"]))
-    first = links(quick.select(F.col("id").alias("u"), head["id"].alias("v")), sets, docs, num, den, k, "quick")
-    open_ = staged(labelled(headed.select("id", "n", "p", "token", head["id"].alias("head")), connected_components(first)), "labelled")
-    drop_staged(headed)
+    first = held.where(may_match("np", "head_np", num, den)).select(F.least("id", "head").alias("u"), F.greatest("id", "head").alias("v"))
+    labels = merged(labels, linked(first, "near-first"), "near-labels")
+    open_ = staged(held.select("token", "id", "np").join(labels, "id"), "near-open")
+    drop_staged(held)
     # of each token, the group with most of its sets: others are held against all, it is not held against itself
     groups = open_.groupBy("token", "component").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("groups"))
-    open_ = staged(open_.join(groups.where("groups > 1").drop("groups"), "token"), "open")
-    a, b = open_.where("component <> main").alias("a"), open_.alias("b")
-    tried = (F.col("a.head") == F.col("a.id")) | (F.col("a.head") == F.col("b.id"))  # the head itself was tried above
+    groups = staged(groups.where("groups > 1").select("token", "main"), "near-main")
+    a = open_.join(groups, "token").where("component <> main").alias("a")
+    b = open_.join(groups, "token").alias("b")
     once = (F.col("b.component") == F.col("b.main")) | (F.col("a.id") < F.col("b.id"))
-    on = (F.col("a.token") == F.col("b.token")) & (F.col("a.component") != F.col("b.component")) & once & ~tried
-    pairs = a.join(b, on & may_match(F.col("a.n"), F.col("a.p"), F.col("b.n"), F.col("b.p")))
-    rest = links(pairs.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")), sets, docs, num, den, k, "rest")
-    return labelled(rows.select("doc_id", "row_key", "id"), connected_components(first.unionByName(rest))).select("doc_id", "row_key", "component")
+    pairs = a.join(b, "token").where((F.col("a.component") != F.col("b.component")) & once & may_match("a.np", "b.np", num, den))
+    return merged(labels, linked(pairs.select(F.least("a.id", "b.id").alias("u"), F.greatest("a.id", "b.id").alias("v")), "near-rest"), "near-labels")

@@ -83,10 +83,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline": pipeline,
 }
 
-#: Every pair of distinct sets of shingles that share one is counted; a line goes if it isn't the first of its set, or its set is like that of an earlier one.
-LINE_DEDUP = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents WHERE text IS NOT NULL),
-w AS (SELECT doc_id, line, s, list_filter(string_split(s, ' '), lambda x: x <> '') AS w FROM l),
-sh AS (SELECT doc_id, line, doc_id * 1000000 + line AS id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS t FROM w WHERE len(w) >= 5),
+#: Every pair of distinct sets of shingles that share one is counted; a line goes if it isn't the first of its set, or its set is like that of an earlier one. A line under five words has one token, all its words.
+LINE_DEDUP = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents WHERE text IS NOT NULL),
+w AS (SELECT doc_id, line, s, list_filter(string_split_regex(s, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM l),
+sh AS (SELECT doc_id, line, doc_id * 1000000 + line AS id, CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS t FROM w WHERE len(w) >= 1),
 g AS (SELECT t, min(id) AS id, len(t) AS n FROM sh GROUP BY t),
 tok AS (SELECT id, n, unnest(t) AS tok FROM g),
 hit AS (SELECT DISTINCT id FROM (SELECT a.id FROM tok a JOIN tok b ON a.tok = b.tok AND b.id < a.id GROUP BY a.id, b.id, a.n, b.n HAVING count(*) * 18 >= (a.n + b.n) * 8) p),

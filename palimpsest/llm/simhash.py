@@ -14,11 +14,13 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_batch, hex16, raw_texts, staged
+from .common import by_batch, hex16, numbered, raw_texts, staged
 from .components import connected_components
+from .neardocs import similar_groups
+from .setjoin import without
 
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints compared at once, and the most of a bucket that one task compares with itself.
@@ -45,21 +47,16 @@ def fingerprint(raw: bytes, k: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def row_key() -> Column:
-    """Tells rows apart by doc_id and text."""
-    return F.xxhash64(F.lit(3), "doc_id", F.col("doc_id").isNull(), "text")
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, row_key, fp): fp the fingerprint as a signed long. Null text counts as empty."""
-    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("fp", pa.int64())])
+    """(doc_id, fp): fp the fingerprint as a signed long. Null text counts as empty."""
+    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def f(batch: pa.RecordBatch) -> dict:
         fps = np.array([fingerprint(x) for x in raw_texts(batch.column("text"))], np.uint64)
-        return {"doc_id": batch.column("doc_id"), "row_key": batch.column("row_key"), "fp": fps.view(np.int64)}
+        return {"doc_id": batch.column("doc_id"), "fp": fps.view(np.int64)}
 
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("row_key"), F.col("text").cast("string").alias("text"))
-    return read.mapInArrow(by_batch(f, schema), "doc_id long, row_key long, fp long")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return read.mapInArrow(by_batch(f, schema), "doc_id long, fp long")
 
 
 def bit_planes(values: np.ndarray) -> np.ndarray:
@@ -201,31 +198,33 @@ def links(distinct: DataFrame, radius: int = RADIUS, sub_block: int = SUB_BLOCK)
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """A row per document of docs (doc_id, text): doc_id, fingerprint (hex), component_id, row_key, component.
+    """A row per document of docs (doc_id, text): doc_id, fingerprint (hex), component_id.
 
     component_id is the smallest doc_id among the documents reachable by links of at most radius differing bits; all
-    texts without a word have fingerprint zero and are linked like any other. Equal fingerprints are compared once.
-    component is a fingerprint that names the same component. Null text counts as empty; a row with a null doc_id belongs
-    to its component but doesn't name it (null if no other does). Repeated rows stay. An empty table gives no rows. Other
-    columns are not read.
+    texts without a word have fingerprint zero and are linked like any other. Equal fingerprints are compared once. Null
+    text counts as empty; a row with a null doc_id belongs to its component but doesn't name it (null if no other does).
+    Repeated rows stay. An empty table gives no rows. Other columns are not read.
     """
     prints = staged(fingerprints(docs), "fingerprints")
     distinct = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = connected_components(links(distinct.select("fp"), radius))
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    of = named.join(least, "component").select("fp", "component_id", "component")
-    return prints.join(of, "fp").select("doc_id", hex16("fp").alias("fingerprint"), "component_id", "row_key", "component")
+    of = named.join(least, "component").select("fp", "component_id")
+    return prints.join(of, "fp").select("doc_id", hex16("fp").alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """One row of docs from each component: that of the smallest doc_id (null last), then of the smallest key of doc_id and text; of equal ones any."""
-    return first_of_each(docs, near_duplicates(docs, radius))
+    """One row of docs (doc_id, text, other columns) from each group of near duplicates: that of the smallest doc_id (null first), then of the smallest hash of the text; of equal ones any.
 
-
-def first_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """One row of docs from each component of groups (doc_id, row_key, component), chosen as in one_of_each."""
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "row_key"))
-    lead = groups.groupBy("component").agg(first.alias("lead")).select(F.col("lead.row_key").alias("_key"))
-    keyed = docs.withColumn("_key", row_key()).join(lead, "_key", "left_semi")
-    return keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).where("_n = 1").drop("_n", "_key").select(*docs.columns)
+    Documents are linked whose fingerprints differ in at most radius bits, or whose sets of five-word shingles have a
+    Jaccard similarity of 0.8 or more: fingerprints find the close copies, an exact join the links that they miss. Null
+    and empty texts are alike. Null doc_ids and repeated rows are rows like others. An empty table gives no rows. All
+    columns are kept as they are.
+    """
+    rows = numbered(docs, 1 << 62)
+    texts = rows.select(F.col("no").alias("id"), F.col("row.text").cast("string").alias("text"))
+    close = near_duplicates(texts.withColumnRenamed("id", "doc_id"), radius)
+    labels = staged(close.select(F.col("doc_id").alias("id"), F.col("component_id").alias("component")), "near-labels")
+    labels = similar_groups(texts, labels)
+    return without(rows, labels.where("id <> component").select(F.col("id").alias("no")), ["no"]).select("row.*")

@@ -15,8 +15,8 @@ import public_tokenizers
 import pytest
 import xxhash
 
-from palimpsest.llm import chat, htmlmain, linededup, media, neardocs, packing, piecebpe, quality, queries, secretscan, sharding, simhash
-from palimpsest.llm.common import running_total
+from palimpsest.llm import chat, htmlmain, linededup, media, neardocs, packing, piecebpe, quality, queries, secretscan, setjoin, sharding, simhash
+from palimpsest.llm.common import numbered, running_total
 from palimpsest.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -145,7 +145,7 @@ def test_simhash_against_brute_force(docs, odd, none):
     assert {r["component_id"] for r in found if r["doc_id"] is None and r["fingerprint"] == "0" * 16} == {2}
     assert simhash.near_duplicates(none).count() == 0
     kept = rows(simhash.one_of_each(odd))
-    assert len(kept) == len({r["component"] for r in found}) and set(kept[0]) == set(odd.columns)
+    assert len(kept) == 8 and list(kept[0]) == odd.columns and [r["doc_id"] for r in kept if not r["text"]] == [None]
 
 
 def test_links_with_small_parts_and_more_blocks(spark, monkeypatch):
@@ -234,20 +234,16 @@ def test_repeated_words_overlap():
 # Lines
 
 
-def slow_lines(items, k=5):
-    """Texts after removal, by comparing every line with all before it."""
+def slow_lines(items):
     seen, out = [], []
     for text in items:
         kept = []
         for line in (text or "").split("\n"):
-            w = [x for x in line.split(" ") if x]
-            s = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
-            if s:
-                if not any(10 * len(s & t) >= 8 * len(s | t) for t in seen):
-                    kept.append(line)
-                seen.append(s)
-            else:
+            w = re.findall("[^\x20\x09-\x0d]+", line)
+            s = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+            if not s or not any(10 * len(s & t) >= 8 * len(s | t) for t in seen):
                 kept.append(line)
+            seen.append(s)
         out.append(None if text is None else "\n".join(kept))
     return out
 
@@ -271,14 +267,32 @@ def test_line_dedup_against_brute_force(spark, none):
 
 
 def test_line_dedup_edge_cases(spark, odd):
-    got = rows(linededup.dedup_lines(odd.withColumnRenamed("offset", "n_lines")))
-    assert len(got) == len(ODD)
+    clashing = odd.selectExpr("*", "1 AS id", "2 AS no", "'y' AS `row`", "3 AS line", "4 AS lines", "5 AS gone", "6 AS _gone", "7 AS _lines", "8 AS _dk").withColumnRenamed("offset", "n_lines")
+    out = linededup.dedup_lines(clashing)
+    assert out.columns == ["doc_id", "text", "shard", "id", "no", "row", "line", "lines", "gone", "_gone", "_lines", "_dk", "n_lines", "n_removed"]
+    got = rows(out)
+    assert len(got) == len(ODD) and {(r["no"], r["row"], r["lines"], r["_gone"]) for r in got} == {(2, "y", 4, 6)}
     assert sorted(r["text"] for r in got if r["doc_id"] == 1) == ["", PROSE]
     assert sorted(r["text"] for r in got if r["doc_id"] == 7) == ["one two three", "other text of the same id"]
+    assert [(r["text"], r["n_lines"]) for r in got if r["doc_id"] == 2] == [(None, 0)]
+
+
+def test_rows_are_numbered_in_order(spark, odd):
+    """Null doc_ids first; repeated rows apart; ids without a repeat as they are, less the least."""
+    got = rows(numbered(odd, 1 << 60).select("no", "row.doc_id"))
+    assert len({r["no"] for r in got}) == len(ODD) and min(r["no"] for r in got) >= 0
+    ids = [r["doc_id"] for r in sorted(got, key=lambda r: r["no"])]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x or 0))
+    plain = spark.createDataFrame([(7, "a"), (-3, "b")], "doc_id int, text string")
+    assert sorted((r["no"], r["text"]) for r in rows(numbered(plain, 1 << 60).select("no", "row.*"))) == [(0, "b"), (10, "a")]
+    assert len(rows(numbered(plain, 10))) == 2 and max(r["no"] for r in rows(numbered(plain, 10))) < 10
+    words = spark.createDataFrame([("b", "x"), ("a", "y"), (None, "z")], "doc_id string, text string")
+    assert [r["text"] for r in sorted(rows(numbered(words, 1 << 60).select("no", "row.text")), key=lambda r: r["no"])] == ["z", "y", "x"]
 
 
 def test_line_dedup_frequent_tokens(spark, monkeypatch):
     monkeypatch.setattr(linededup, "FREQUENT_RANK", 3)
+    monkeypatch.setattr(setjoin, "FREQUENT_RANK", 3)
     items = [f"{PROSE} number {i} of many lines that are nearly the same as others" for i in range(30)] + [PROSE] * 3
     got = {r["doc_id"]: r["text"] for r in rows(linededup.dedup_lines(spark.createDataFrame(list(enumerate(items)), "doc_id long, text string")))}
     assert [got[i] for i in range(len(items))] == slow_lines(items)
@@ -289,17 +303,8 @@ def test_line_dedup_of_whole_lines(spark):
     lines = [[f"w{rng.randrange(300)}" for _ in range(rng.randrange(1, 20))] for _ in range(25)]
     items = ["\n".join(rng.choice((" ", "\t", " \r")).join(varied(rng, rng.choice(lines), rng.choice((0, 0, 0, 1))).split(" ")) for _ in range(rng.randrange(1, 6))) for _ in range(60)]
     items += ["一行没有空格的文字", "a\n\n\nb", "一行没有空格的文字\nb ", None, "\t"]
-    seen, want = [], []
-    for text in items:
-        kept = []
-        for line in (text or "").split("\n"):
-            w = line.split()
-            s = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
-            if not s or not any(10 * len(s & t) >= 8 * len(s | t) for t in seen):
-                kept.append(line)
-            seen.append(s)
-        want.append(None if text is None else "\n".join(kept))
-    got = {r["doc_id"]: r["text"] for r in rows(linededup.dedup_lines(spark.createDataFrame(list(enumerate(items)), "doc_id long, text string"), whole=True))}
+    want = slow_lines(items)
+    got = {r["doc_id"]: r["text"] for r in rows(linededup.dedup_lines(spark.createDataFrame(list(enumerate(items)), "doc_id long, text string")))}
     assert [got[i] for i in range(len(items))] == want
     assert want[-5:] == ["一行没有空格的文字", "a\n\n\nb", "", None, "\t"]
 
@@ -343,23 +348,25 @@ def slow_groups(items, k=5):
     return group
 
 
-@pytest.mark.parametrize("frequent", [linededup.FREQUENT_RANK, 3])
-def test_similar_documents_against_brute_force(spark, none, monkeypatch, frequent):
-    import corpus_pipeline
-
+@pytest.mark.parametrize("frequent", [setjoin.FREQUENT_RANK, 3])
+def test_one_of_each_group_against_brute_force(spark, none, monkeypatch, frequent):
+    monkeypatch.setattr(setjoin, "FREQUENT_RANK", frequent)
     monkeypatch.setattr(neardocs, "FREQUENT_RANK", frequent)
     rng = random.Random(9)
     bases = [[f"w{rng.randrange(400)}" for _ in range(rng.randrange(2, 120))] for _ in range(12)]
     items = [varied(rng, rng.choice(bases), rng.choice((0, 1, 2, 3))) for _ in range(90)] + [None, "", " \t", "one two", "One\ttwo"]
-    docs = spark.createDataFrame(list(enumerate(items)), "doc_id long, text string")
-    want = slow_groups(items)
-    assert 10 < len(set(want)) < 70
-    by = {}
-    for r in rows(neardocs.similar_documents(docs)):
-        by.setdefault(r["component"], set()).add(r["doc_id"])
-    assert sorted(map(sorted, by.values())) == sorted([i for i, x in enumerate(want) if x == g] for g in set(want))
-    assert sorted(r["doc_id"] for r in rows(corpus_pipeline.near_stage(spark, docs, SF))) == sorted(set(want))
-    assert neardocs.similar_documents(none).count() == 0
+    fps = [slow_fingerprint(t or "") for t in items]
+    group = slow_groups(items)
+    for i in range(len(items)):  # links of fingerprints as well
+        for j in range(i):
+            if group[i] != group[j] and (fps[i] ^ fps[j]).bit_count() <= 4:
+                old, new = max(group[i], group[j]), min(group[i], group[j])
+                group = [new if x == old else x for x in group]
+    assert 10 < len(set(group)) < 70
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in enumerate(items)], "doc_id long, text string, id string, no int")
+    got = rows(simhash.one_of_each(docs))
+    assert sorted(r["doc_id"] for r in got) == sorted(set(group)) and all(r["text"] == items[r["doc_id"]] and r["no"] == 1 for r in got)
+    assert simhash.one_of_each(none).count() == 0
 
 
 # Sharding
