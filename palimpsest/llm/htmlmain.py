@@ -1,8 +1,9 @@
 """Main text of web pages: parser events, text-to-tag ratios, Gaussian smoothing, and two clusters of lines.
 
 The page is read as a stream of events of the standard library's parser. Every block of text becomes a line with the
-length of its text and the number of tags in it. Ratios are smoothed along the page and cut in two by a threshold; the
-dense lines vote for the container that holds the article, and all of that container's text is returned, but for what is
+length of its text and the number of tags in it. Ratios are smoothed along the page and cut in two by a threshold. The
+dense lines choose the content: the articles that are dense for the most part or as a whole, or, where no article is marked up, the
+deepest container that holds nearly all dense text, less its lists of links. All text there is returned, but for what is
 marked as something else (menus, forms, notices, comments and so on).
 """
 
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -33,26 +35,42 @@ MARKED_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|
 SPACE = re.compile(r"\s+")
 
 
+#: Elements that may hold an article; they and those that may hold a list of links.
+CONTAINERS = {"article", "body", "center", "div", "html", "main", "section", "td"}
+GROUPS = CONTAINERS | {"ul", "ol", "dl", "table", "p"}
+#: Elements open at once, as in browsers; those beyond count as inside the last.
+DEPTH = 512
+#: Shares of text: of a kept article that is dense; of all dense text that the chosen container holds; of a dropped group that is links.
+DENSE, HELD, LINKED = 0.5, 0.9, 0.5
+
+
 class Blocks(HTMLParser):
-    """Blocks of text as [text, tags, path of open elements, whether it is skipped], from a stream of events."""
+    """Blocks of text as (text, tags, element around it, whether it is skipped, letters in links), from a stream of events.
+
+    Elements are numbered in the order in which they begin, from 1, and know their parents: 0 is around all.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool]] = []  # element, number, whether it or one around it is skipped
-        self.numbers = 0
-        self.blocks: list[tuple[str, int, tuple[int, ...], bool]] = []
-        self.kinds: dict[int, str] = {}
+        self.counts: Counter[str] = Counter()  # of open elements
+        self.beyond: Counter[str] = Counter()  # of those that are too deep
+        self.kinds, self.parents = ["html"], [0]
+        self.blocks: list[tuple[str, int, int, bool, int]] = []
         self.parts: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
 
     def end_block(self) -> None:
         text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            self.blocks.append((text, self.tags, tuple(x[1] for x in self.open), bool(self.open) and self.open[-1][2]))
-        self.parts, self.tags = [], 0
+            _, number, skipped = self.open[-1] if self.open else ("", 0, False)
+            self.blocks.append((text, self.tags, number, skipped, self.linked))
+        self.parts, self.tags, self.linked = [], 0, 0
 
     def pop_to(self, depth: int) -> None:
         self.end_block()
+        for tag, _, _ in self.open[depth:]:
+            self.counts[tag] -= 1
         del self.open[depth:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -60,14 +78,14 @@ class Blocks(HTMLParser):
         if tag == "br":
             self.parts.append(" ")
             return
-        if tag in ENDS_P:
+        if tag in ENDS_P and self.counts["p"]:
             for at in range(len(self.open) - 1, -1, -1):
                 if self.open[at][0] == "p":
                     self.pop_to(at)
                     break
                 if self.open[at][0] in ("td", "th", "caption", "button", "object", "table"):
                     break
-        if tag in ENDS:
+        if tag in ENDS and any(self.counts[x] for x in ENDS[tag][0]):
             ended, within = ENDS[tag]
             for at in range(len(self.open) - 1, -1, -1):
                 if self.open[at][0] in within:
@@ -81,6 +99,9 @@ class Blocks(HTMLParser):
             self.tags += 1
         if tag in VOID:
             return
+        if len(self.open) >= DEPTH:
+            self.beyond[tag] += 1
+            return
         around = bool(self.open) and self.open[-1][2]
         skip = around or tag in SKIPPED
         if attrs and not skip and tag not in ("html", "body", "main"):
@@ -88,9 +109,10 @@ class Blocks(HTMLParser):
             skip = any(v and marked.search(v) or k == "hidden" for k, v in attrs if k in ("class", "id", "role", "hidden"))
         if skip and not around:
             self.end_block()
-        self.numbers += 1
-        self.kinds[self.numbers] = tag
-        self.open.append((tag, self.numbers, skip))
+        self.parents.append(self.open[-1][1] if self.open else 0)
+        self.open.append((tag, len(self.kinds), skip))
+        self.kinds.append(tag)
+        self.counts[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -99,18 +121,28 @@ class Blocks(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
+        if self.beyond[tag]:
+            self.beyond[tag] -= 1
+            if tag in BLOCKS:
+                self.end_block()
+            return
+        if not self.counts[tag]:
+            return
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
                 if tag in BLOCKS or self.open[at][2]:
                     self.pop_to(at)
                 else:
                     del self.open[at]
+                    self.counts[tag] -= 1
                 return
             if self.open[at][0] in ("article", "main", "body", "table") and tag not in BLOCKS:
                 return
 
     def handle_data(self, data: str) -> None:
         self.parts.append(data)
+        if self.counts["a"]:
+            self.linked += len(data)
 
 
 def smoothed(values: list[float], radius: int = 2) -> list[float]:
@@ -143,43 +175,61 @@ def threshold(values: list[float], rounds: int = 20) -> float:
 
 def main_text(html: str) -> str:
     """The article's blocks, joined by line feeds; empty if there is none."""
-    parser = Blocks()
-    parser.feed(html)
-    parser.close()
-    parser.pop_to(0)
-    blocks = parser.blocks
+    page = Blocks()
+    page.feed(html)
+    page.close()
+    page.pop_to(0)
+    return "\n".join(page.blocks[i][0] for i in chosen_blocks(page.blocks, page.kinds, page.parents))
+
+
+def chosen_blocks(blocks: list[tuple], kinds: list[str], parents: list[int]) -> list[int]:
+    """Places of the blocks of the article. Times and memory are linear in blocks and elements."""
     usable = [i for i, b in enumerate(blocks) if not b[3]]
     if not usable:
-        return ""
-    ratios = smoothed([len(text) / max(1, tags) for text, tags, _, _ in blocks])
+        return []
+    ratios = smoothed([len(b[0]) / max(1, b[1]) for b in blocks])
     cut = threshold(ratios)
-    weight: dict[int, float] = {}
-    dense = [i for i in usable if ratios[i] >= cut] or usable
-    for i in dense:
-        for number in blocks[i][2]:
-            weight[number] = weight.get(number, 0) + len(blocks[i][0])
-    total = sum(len(blocks[i][0]) for i in dense)
-    # marked-up articles first: the heaviest; else the deepest element that holds nearly all dense text
-    articles = [n for n in weight if parser.kinds[n] in ("article", "main")]
-    if articles:
-        best = max(articles, key=lambda n: (parser.kinds[n] == "article", weight[n], n))
-        wide = [n for n in articles if parser.kinds[n] == "main"]
-        if weight[best] < 0.5 * total and wide:
-            best = max(wide, key=lambda n: (weight[n], n))
-        chosen = [i for i in usable if best in blocks[i][2]]
-    else:
-        holds = [n for n, w in weight.items() if w >= 0.9 * total]
-        best = max(holds, default=0)
-        inside = [i for i in usable if not best or best in blocks[i][2]]
-        chosen = inside
-    return "\n".join(blocks[i][0] for i in chosen)
+    dense = {i for i in usable if ratios[i] >= cut} or set(usable)
+    weight, whole, tags = ([0] * len(kinds) for _ in range(3))  # letters of dense text, of all, and tags of each element
+    for i in usable:
+        n = len(blocks[i][0])
+        whole[blocks[i][2]] += n
+        tags[blocks[i][2]] += blocks[i][1]
+        weight[blocks[i][2]] += n if i in dense else 0
+    for e in range(len(kinds) - 1, 0, -1):
+        whole[parents[e]] += whole[e]
+        tags[parents[e]] += tags[e]
+        weight[parents[e]] += weight[e]
+    outer = [0] * len(kinds)  # the article around an element, the outermost
+    for e in range(1, len(kinds)):
+        outer[e] = outer[parents[e]] or (e if kinds[e] == "article" else 0)
+    articles = {e for e in outer if e and whole[e]}
+    mains = [e for e, kind in enumerate(kinds) if kind == "main" and weight[e]]
+    best = max(articles, key=lambda e: (weight[e], -e), default=0)
+    if best and weight[best] and (weight[best] >= 0.5 * weight[0] or not mains):
+        kept = {best, *(e for e in articles if weight[e] > DENSE * whole[e] or whole[e] >= cut * max(1, tags[e]))}
+        return [i for i in usable if outer[blocks[i][2]] in kept]
+    main = max(mains, key=lambda e: (weight[e], e), default=0)
+    if not main or weight[main] < 0.5 * weight[0]:
+        main = max((e for e, kind in enumerate(kinds) if kind in CONTAINERS and weight[e] >= HELD * weight[0]), default=0)
+    # blocks of the container by the outermost group in it; 0: in none, -1: outside
+    group = [-1] * len(kinds)
+    for e in range(len(kinds)):
+        if e == main:
+            group[e] = 0
+        elif e and group[parents[e]] >= 0:
+            group[e] = group[parents[e]] or (e if kinds[e] in GROUPS else 0)
+    links = Counter()
+    for i in usable:
+        links[group[blocks[i][2]]] += blocks[i][4]
+    return [i for i in usable if (g := group[blocks[i][2]]) >= 0 and (not g or weight[g] or links[g] <= LINKED * whole[g])]
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """A row per row of pages (page_id, url, html): page_id, url, text, n_chars (code points).
 
-    Null or empty html, and pages without an article, give an empty text. Null ids and urls stay null; repeated rows
-    stay. An empty table gives no rows. Other columns are not read.
+    Null or empty html, and pages without text, give an empty text; of a page without a marked-up article the container of
+    its dense text is taken. Null ids and urls stay null; repeated rows stay. An empty table gives no rows. Other columns are not read.
     """
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
 
