@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns, and candidates confirmed by their structure.
 
-Runs of base64 or hexadecimal text are decoded, and reported only if the bytes are a key: DER whose nested lengths add
-up to a known key layout, an OpenSSH key whose length-prefixed fields fill it, or a signed token whose header names an
-algorithm.
+Runs of base64 or hexadecimal text, over line breaks and from any place in them, are decoded as far as the lengths at their
+begin say, and reported only if the bytes are a key: DER whose nested lengths add up to a known key layout, an OpenSSH key
+whose length-prefixed fields fill it, or a signed token whose header names an algorithm.
 """
 
 from __future__ import annotations
@@ -27,10 +27,17 @@ KINDS = ("assign", "access", "hex", "derkey", "sshkey", "jwt")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
-ENCODED = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-HEX_KEY = re.compile(r"(?:[0-9A-Fa-f]{2}){32,}")
+#: Where the base64 form of a DER sequence of 64 bytes or more, or of an OpenSSH key, may begin: tag, length, then a number or a sequence.
+START64 = re.compile(r"M[C-I][A-Za-z0-9+/_-]{14}|b3BlbnNzaC1rZXktdjEA")
+#: Parts of a base64 text over several lines, as they stand, escaped, or as pieces of a quoted string.
+LINE64, BREAK64 = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"""(?:[\x20\t]*["']?[\x20\t]*[+\\]?[\x20\t]*\r?\n[\x20\t]*["']?|(?:\\r)?\\n(?:["']?[\x20\t]*[+\\]?[\x20\t]*\r?\n[\x20\t]*["']?)?)""")
+START_HEX = re.compile(r"30(?:[2-7][0-9A-Fa-f]|8[1-3])(?=[0-9A-Fa-f]{28})|6[Ff]70656[Ee]7373682[Dd]6[Bb]65792[Dd]763100")
+HEX_RUN = re.compile(r"[0-9A-Fa-f]+")
+#: The longest key that is looked for, in characters.
+KEY_CHARS = 1 << 17
 JWT = re.compile(r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)KEY-----((?:[A-Za-z0-9+/=\s]|\\[nr])*)-----END \1KEY-----")
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)KEY-----((?:\s|\\[nr])*(?:(?:Proc-Type|DEK-Info):[\x20-\x5b\x5d-\x7e]*(?:\s|\\[nr])+)*(?:[A-Za-z0-9+/=\s]|\\[nr])*)-----END \1KEY-----")
+SEALED = re.compile(r"Proc-Type:\s*4,\s*ENCRYPTED(?:\s|\\[nr])+DEK-Info:\s*(DES|AES|CAMELLIA|SEED|IDEA|RC2)[A-Z0-9-]*,\s*(?:[0-9A-Fa-f]{16}){1,2}(?:\s|\\[nr])+")
 #: Names of algorithms in headers of signed tokens (fixed values, RFC 7518 and RFC 8037).
 ALGORITHMS = {"HS256", "HS384", "HS512", "RS256", "RS384", "RS512", "ES256", "ES384", "ES512", "PS256", "PS384", "PS512", "EdDSA", "none"}
 
@@ -151,6 +158,85 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
+def der_size(head: bytes) -> int | None:
+    """Bytes of the DER sequence that begins so, of 32 to 2 ** 16 bytes; None if no key begins so."""
+    if len(head) < 8 or head[0] != 0x30:
+        return None
+    n, at = head[1], 2
+    if n & 0x80:
+        k = n & 0x7F
+        if not 1 <= k <= 3 or head[2] == 0:
+            return None
+        n, at = int.from_bytes(head[2 : 2 + k], "big"), 2 + k
+    follows = head[at : at + 3] in (b"\x02\x01\x00", b"\x02\x01\x01") or head[at] == 0x30
+    return at + n if follows and 32 <= at + n <= 1 << 16 else None
+
+
+def ssh_size(data: bytes) -> int | None:
+    """Bytes of the OpenSSH key that data begins with, by its fields; None if it has no such begin."""
+    at = len(b"openssh-key-v1\0")
+    for i in range(3):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    keys, at = int.from_bytes(data[at : at + 4], "big"), at + 4
+    if not 1 <= keys <= 16:
+        return None
+    for _ in range(keys + 1):
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+    return at if at <= len(data) else None
+
+
+def key_at(text: str, start: int) -> tuple[int, int, str] | None:
+    """The span of a key whose base64 form begins at start, over line breaks; None if its lengths or layout are wrong."""
+    ssh = text.startswith("b3", start)
+    size = None if ssh else der_size(base64.b64decode(text[start : start + 16].translate(URL_SAFE)))
+    if not ssh and size is None:
+        return None
+    want = KEY_CHARS if ssh else -(-size * 8 // 6)
+    runs: list[tuple[int, str]] = []
+    have, at = 0, start
+    while have < want and (m := LINE64.match(text, at)):
+        runs.append((at, m[0][: want - have]))
+        have += len(runs[-1][1])
+        if not (br := BREAK64.match(text, m.end())):
+            break
+        at = br.end()
+    joined = "".join(x for _, x in runs).translate(URL_SAFE)
+    if ssh:
+        data = base64.b64decode(joined[: len(joined) // 4 * 4] + {2: joined[-2:] + "==", 3: joined[-3:] + "="}.get(len(joined) % 4, ""))
+        if (size := ssh_size(data)) is None:
+            return None
+        want = -(-size * 8 // 6)
+    if have < want:
+        return None
+    kind = key_kind(base64.b64decode(joined[:want] + "=" * (-want % 4))[:size])
+    if kind is None:
+        return None
+    for at, run in runs:
+        if want <= len(run):
+            end = at + want
+            break
+        want -= len(run)
+    while end < len(text) and text[end] == "=" and end - at < 1 << 17 and text[end - 2 : end] != "==":
+        end += 1
+    return start, end, kind
+
+
+URL_SAFE = str.maketrans("-_", "+/")
+
+
+def hex_key_at(text: str, start: int, end: int) -> tuple[int, int, str] | None:
+    """The same for a hexadecimal form in the run of digits that ends at end."""
+    head = bytes.fromhex(text[start : start + min(32, (end - start) // 2 * 2)])
+    if head[0] == 0x30:
+        size = der_size(head)
+    else:
+        size = ssh_size(bytes.fromhex(text[start : start + min(KEY_CHARS, (end - start) // 2 * 2)]))
+    if size is None or start + 2 * size > end:
+        return None
+    kind = key_kind(bytes.fromhex(text[start : start + 2 * size]))
+    return (start, start + 2 * size, kind) if kind else None
+
+
 def structural_spans(text: str) -> list[tuple[int, int, str]]:
     """Spans whose decoded bytes are confirmed as keys or signed tokens."""
     out = []
@@ -158,14 +244,27 @@ def structural_spans(text: str) -> list[tuple[int, int, str]]:
         out += [(m.start(), m.end(), "jwt") for m in JWT.finditer(text) if is_signed_token(m[0])]
     if "-----BEGIN " in text:
         for m in PEM.finditer(text):
-            lines = m[2].replace("\\n", " ").replace("\\r", " ").split()  # as in JSON and source strings
-            if kind := key_kind(decoded64("".join(lines))):
+            body = SEALED.sub("", m[2], 1)
+            data = decoded64("".join(body.replace("\\n", " ").replace("\\r", " ").split()))  # as in JSON and source strings
+            if body != m[2]:  # sealed by a cipher: whole blocks, which nothing else confirms
+                kind = "derkey" if data and len(data) >= 32 and len(data) % 8 == 0 else None
+            else:
+                kind = key_kind(data)
+            if kind:
                 out.append((m.start(), m.end(), kind))
     # DER begins with 0x30 and a length, OpenSSH keys with their name: so begins their base64 or hexadecimal form
-    if any(x in text for x in ("MI", "MH", "MF", "MC", "MD", "ME", "MG", "b3BlbnNzaC1rZXkt")):
-        out += [(m.start(), m.end(), kind) for m in ENCODED.finditer(text) if m[0].startswith(("M", "b3BlbnNzaC1rZXkt")) and (kind := key_kind(decoded64(m[0])))]
-    if "30" in text or "6f70656e7373682d" in text:
-        out += [(m.start(), m.end(), kind) for m in HEX_KEY.finditer(text) if m[0].startswith(("30", "6f70656e7373682d", "6F70656E7373682D")) and (kind := key_kind(bytes.fromhex(m[0])))]
+    at = 0
+    while m := START64.search(text, at):
+        if found := key_at(text, m.start()):
+            out.append(found)
+        at = found[1] if found else m.start() + 1
+    if "30" in text or "6f70656e7373682d" in text.lower():
+        for run in HEX_RUN.finditer(text):
+            at = run.start() if run.end() - run.start() >= 64 else run.end()
+            while m := START_HEX.search(text, at, run.end()):
+                if found := hex_key_at(text, m.start(), run.end()):
+                    out.append(found)
+                at = found[1] if found else m.start() + 1
     return out
 
 
@@ -210,7 +309,11 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
 
 
 def mask_secrets(docs: DataFrame, column: str = "text") -> DataFrame:
-    """docs with every span of a text replaced by its kind in brackets, and n_secrets, the number of spans; null text stays null."""
+    """docs with every span of a text replaced by its kind in brackets, and n_secrets, the number of spans.
+
+    Null text stays null, with 0; empty text stays empty. Overlapping spans become one. Repeated rows stay. An empty table
+    gives no rows. A column named n_secrets is replaced, others are kept.
+    """
     kept = docs.drop("n_secrets")
 
     def f(batches):
