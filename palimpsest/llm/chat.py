@@ -515,13 +515,16 @@ def turns_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, It
             pass
 
 
+#: Characters of a segment, but for the last part of the template that went into it: bounds what is held of a long run of turns.
+SEGMENT_CHARS = 1 << 16
 SEGMENTS = pa.schema([("conv_id", pa.int64()), ("segment", pa.int64()), ("text", pa.string()), ("generated", pa.bool_())])
 
 
 def format_conversations(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
     """The formatted text of each conversation as rows (conv_id, segment, text, generated), in order within a partition.
 
-    The segments of a conversation, joined in order, are its formatted text; generated ones are under the loss mask.
+    The segments of a conversation, joined in order, are its formatted text; generated ones are under the loss mask. A run of
+    more than SEGMENT_CHARS characters is cut between parts of the template, so that a conversation of any length is never held.
     conversations has (conv_id, turn, role, text); a null role or text counts as empty. Turns are ordered by number (null
     first), then role and text; repeated rows are turns of their own. Rows with a null conv_id form one conversation. An
     empty table gives no rows. Other columns are not read.
@@ -533,14 +536,15 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
         out: list[list] = [[], [], [], []]
         held = 0
         for conv_id, messages in turns_of(batches):
-            n, joined, kind = 0, [], None
+            n, joined, kind, size = 0, [], None, 0
             for text, generated in compiled_template.parts(messages):
-                if kind is not None and generated != kind:
+                if kind is not None and (generated != kind or size > SEGMENT_CHARS):
                     for column, x in zip(out, (conv_id, n, "".join(joined), kind), strict=True):
                         column.append(x)
                     held += sum(map(len, joined))
-                    n, joined = n + 1, []
+                    n, joined, size = n + 1, [], 0
                 joined.append(text)
+                size += len(text)
                 kind = generated
                 if held > 1 << 22 or len(out[0]) >= 4096:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, SEGMENTS, strict=True)], schema=SEGMENTS)

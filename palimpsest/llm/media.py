@@ -115,20 +115,31 @@ def write_archives(docs: DataFrame, folder: str) -> DataFrame:
 
 
 class ByteRange(InputPartition):
-    def __init__(self, path: str, start: int, end: int):
-        self.path, self.start, self.end = path, start, end
+    """The members of an archive that begin between two offsets: (offset, bytes, CRC, method, name) of each, or None to read its directory."""
 
+    def __init__(self, path: str, start: int, end: int, members: list[tuple[int, int, int, int, str]] | None = None):
+        self.path, self.start, self.end, self.members = path, start, end, members
 
-def member_bytes(file: pa.NativeFile, info: zipfile.ZipInfo) -> bytes:
-    """The stored bytes of a member, by its offset alone."""
-    file.seek(info.header_offset)
+
+def member_bytes(file: pa.NativeFile, offset: int, size: int, crc: int, method: int) -> bytes:
+    """The bytes of a member, stored or deflated, by its offset alone."""
+    file.seek(offset)
     head = file.read(30)
     if len(head) != 30 or head[:4] != b"PK\x03\x04":
         raise OSError("no member at this offset")
     name, extra = struct.unpack_from("<HH", head, 26)
-    file.seek(info.header_offset + 30 + name + extra)
-    data = file.read(info.compress_size)
-    if len(data) != info.compress_size or zlib.crc32(data) != info.CRC:
+    file.seek(offset + 30 + name + extra)
+    data = file.read(size)
+    if len(data) != size:
+        raise OSError("a member is cut short")
+    if method == zipfile.ZIP_DEFLATED:
+        try:
+            data = zlib.decompress(data, -15)
+        except zlib.error as e:
+            raise OSError("damaged member") from e
+    elif method != zipfile.ZIP_STORED:
+        raise ValueError(f"members of compression method {method} are not read")
+    if zlib.crc32(data) != crc:
         raise OSError("damaged member")
     return data
 
@@ -144,7 +155,14 @@ class ArchiveReader(DataSourceReader):
         found = self.archives
         if found is None:
             found = sorted((x.path, x.size) for x in fs.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True)) if x.is_file and x.path.endswith(".zip"))
-        return [ByteRange(path, a, min(size, a + self.range_bytes)) for path, size in found for a in range(0, size, self.range_bytes)] or [ByteRange("", 0, 0)]
+        return [r for path, size in found for r in self.ranges(fs, path, size)] or [ByteRange("", 0, 0)]
+
+    def ranges(self, fs: pafs.FileSystem, path: str, size: int) -> list[ByteRange]:
+        """The ranges of an archive that hold members; its directory is read once, here."""
+        parts: dict[int, list] = {}
+        for x in self.directory(fs, path):
+            parts.setdefault(x.header_offset // self.range_bytes, []).append((x.header_offset, x.compress_size, x.CRC, x.compress_type, x.filename))
+        return [ByteRange(path, k * self.range_bytes, min(size, (k + 1) * self.range_bytes), members) for k, members in sorted(parts.items())]
 
     def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
         if not partition.path:
@@ -152,13 +170,15 @@ class ArchiveReader(DataSourceReader):
         fs, _ = filesystem(self.folder)
         rows: list[tuple] = []
         held = 0
-        members = self.directory(fs, partition)
+        members = partition.members
+        if members is None:
+            members = [(x.header_offset, x.compress_size, x.CRC, x.compress_type, x.filename) for x in self.directory(fs, partition.path) if partition.start <= x.header_offset < partition.end]
         file = fs.open_input_file(partition.path)
         try:
-            for info in members:
+            for offset, size, crc, method, name in members:
                 for left in range(self.attempts - 1, -1, -1):
                     try:
-                        data = member_bytes(file, info)
+                        data = member_bytes(file, offset, size, crc, method)
                         break
                     except OSError:
                         if not left:
@@ -166,8 +186,8 @@ class ArchiveReader(DataSourceReader):
                         time.sleep(0.1 * (self.attempts - left))
                         file.close()
                         file = fs.open_input_file(partition.path)
-                doc_id = info.filename.rpartition("_")[2].removesuffix(".png")
-                rows.append((int(doc_id) if doc_id else None, partition.path, info.filename, info.header_offset, data))
+                doc_id = name.rpartition("_")[2].removesuffix(".png")
+                rows.append((int(doc_id) if doc_id else None, partition.path, name, offset, data))
                 held += len(data)
                 if held >= BATCH_BYTES:
                     yield self.batch(rows)
@@ -177,12 +197,13 @@ class ArchiveReader(DataSourceReader):
         if rows:
             yield self.batch(rows)
 
-    def directory(self, fs: pafs.FileSystem, partition: ByteRange) -> list[zipfile.ZipInfo]:
+    def directory(self, fs: pafs.FileSystem, path: str) -> list[zipfile.ZipInfo]:
+        """The members of an archive; tried again where it can't be read or seems damaged."""
         for left in range(self.attempts - 1, -1, -1):
             try:
-                with fs.open_input_file(partition.path) as file, zipfile.ZipFile(file) as archive:
-                    return [x for x in archive.infolist() if partition.start <= x.header_offset < partition.end]
-            except OSError:
+                with fs.open_input_file(path) as file, zipfile.ZipFile(file) as archive:
+                    return archive.infolist()
+            except (OSError, zipfile.BadZipFile):
                 if not left:
                     raise
                 time.sleep(0.1 * (self.attempts - left))

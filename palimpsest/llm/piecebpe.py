@@ -2,7 +2,7 @@
 
 Symbols of a text are merged by an agenda of adjacent pairs, ordered by score and then place. No piece of the vocabulary
 reaches over the begin of a word, so words are encoded apart, each distinct one once. New words of an Arrow batch are
-held against the sentencepiece library before they are used.
+held against the sentencepiece library before they are used, and so are the decoded texts.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import by_batch, texts
 
 SPACE = "▁"
-#: Words whose ids a worker remembers; bounds its memory.
-CACHE_WORDS = 1_000_000
+#: Words whose ids a worker remembers, and code points of the longest of them: they bound its memory.
+CACHE_WORDS, WORD_CHARS = 400_000, 64
 WORDS = re.compile(" +[^ \n]*|\n[^ \n]*|[^ \n]+")
 BYTES = re.compile(r"(?:\x00[0-9A-F]{2})+")
 
@@ -85,15 +85,17 @@ class PieceTable:
 
 
 class Words(dict):
-    """Ids of words, made when they are first asked for; new lists those that are still to be checked."""
+    """Ids of words, made when they are first asked for; new lists those that are still to be checked, long those that aren't kept beyond a batch."""
 
     def __init__(self, table: PieceTable):
-        self.table, self.new = table, []
+        self.table, self.new, self.long = table, [], []
 
     def __missing__(self, word: str) -> bytes:
         ids = array("I", self.table.merge(word if word[:1] == "\n" else SPACE + word.replace(" ", SPACE))).tobytes()
         self[word] = ids
         self.new.append(word)
+        if len(word) > WORD_CHARS:
+            self.long.append(word)
         return ids
 
 
@@ -113,8 +115,12 @@ class PieceCodec:
         for at in range(0, len(new), 512):
             part = new[at : at + 512]
             self.check(part, [self.known[w] for w in part])
-        if len(self.known) > self.cache:
-            self.known = Words(self.table)
+        for word in self.known.long:
+            self.known.pop(word, None)
+        self.known.long = []
+        if len(self.known) > self.cache:  # frequent words came early
+            for word in [*self.known][self.cache // 2 :]:
+                del self.known[word]
 
     def check(self, words: list[str], found: list[bytes]) -> None:
         """Raises AssertionError unless the library gives these ids for the words in a row, as one text.
@@ -153,6 +159,13 @@ class PieceCodec:
         self.check_new()
         return out
 
+    def decode_batch(self, batch: list[np.ndarray]) -> list[str]:
+        """Texts of ids, each held against the library: raises AssertionError where it decodes otherwise."""
+        out = [self.decode(x) for x in batch]
+        if out != self.table.library.decode([x.tolist() for x in batch], num_threads=1):
+            raise AssertionError("the library decodes otherwise")
+        return out
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: control ids vanish, the space before the first word too, bytes become characters."""
         parts = [*map(self.table.surface.__getitem__, ids.tolist())]
@@ -191,7 +204,7 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
     def f(batch: pa.RecordBatch) -> dict:
         pieces = codec(model_path)
         ids = pieces.encode(texts(batch.column("text")))
-        return {"doc_id": batch.column("doc_id"), "ids": [x.tobytes() for x in ids], "decoded": [pieces.decode(x) for x in ids]}
+        return {"doc_id": batch.column("doc_id"), "ids": [x.tobytes() for x in ids], "decoded": pieces.decode_batch(ids)}
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(by_batch(f, schema, 256), "doc_id long, ids binary, decoded string")
 

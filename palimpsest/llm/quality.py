@@ -74,7 +74,7 @@ def base_features(raw: bytes) -> tuple[int, int, int, int, int]:
     words = raw.split()
     joined = b"".join(words)
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    return len(words), len(joined.decode()), sum(joined.count(SYMBOLS[i : i + 1]) for i in range(len(SYMBOLS))), len(lines) - len(set(lines)), repeated_words(words)
+    return len(words), len(joined.decode("utf-8", "replace")), sum(joined.count(SYMBOLS[i : i + 1]) for i in range(len(SYMBOLS))), len(lines) - len(set(lines)), repeated_words(words)
 
 
 def gram_counts(docs: DataFrame, trusted: DataFrame | None) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +129,7 @@ def quality_rules(docs: DataFrame, labels: DataFrame | None, threshold: float =
     """docs (doc_id, text, any other columns) with a verdict for each row.
 
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (over the whole text), score (mean log ratio of the
-    n-grams; 0 for a text of fewer than 4 bytes), base_failed and kept, in place of columns of those names. labels
+    n-grams; 0 for a text of fewer than 4 bytes, damaged UTF-8 taken as it is), base_failed and kept, in place of columns of those names. labels
     (doc_id, quality) names the trusted documents; without any, all scores are 0 and only the base rules decide. Null or
     empty text has no word and fails. Repeated rows get equal verdicts. An empty table gives no rows.
     """
