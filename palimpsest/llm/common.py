@@ -81,8 +81,11 @@ def running_total(df: DataFrame, keys: list[str], salt: Column, order: list[str]
 
 
 def texts(column: pa.Array | pa.ChunkedArray) -> list[str]:
-    """A string column as Python strings; null counts as empty."""
-    return ["" if x is None else x for x in column.to_pylist()]
+    """A string column as Python strings; null counts as empty, and what isn't valid UTF-8 becomes U+FFFD."""
+    try:
+        return ["" if x is None else x for x in column.to_pylist()]
+    except UnicodeDecodeError:
+        return [x.decode("utf-8", "replace") for x in raw_texts(column)]
 
 
 def raw_texts(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

@@ -1,63 +1,133 @@
 """Packing of tokenised documents into sequences of a fixed length.
 
-Documents are tokenised in Arrow batches, cut at the capacity, and their pieces dealt at random into groups of bounded
-size. Each group is packed alone by first-fit decreasing, with a tournament tree of the free room in its bins to find
-the first that fits. Groups are independent, so one shuffle of the pieces is all that is moved.
+Documents are tokenised in Arrow batches, cut at the capacity, and dealt at random, by hashes of what they are, into groups
+of bounded size. Each group is packed alone by first-fit decreasing, with a tournament tree of the free room in its bins
+to find the first that fits. Groups are independent, so one shuffle of the pieces is all that is moved.
 """
 
 from __future__ import annotations
 
+import json
 import os
-from collections.abc import Iterator
+import re
+import struct
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import texts
 
 CAPACITY = 2048
-#: Documents in a group, on average: bounds the memory of the task that packs it.
-GROUP_DOCUMENTS = 4096
-#: Words whose ids a worker remembers; bounds its memory.
-CACHE_WORDS = 1_000_000
+#: Bytes of text in a group, on average: bounds the memory of the task that packs it. Tails of 4 MB fill some 500 sequences.
+GROUP_BYTES = 4 << 20
+#: Bytes of parts and words with their ids that a worker remembers.
+CACHE_BYTES = 128 << 20
+#: Bytes that an entry takes besides its word and ids; code points of the longest word that is remembered.
+ENTRY_BYTES, WORD_CHARS = 200, 64
+
+
+class Remembered:
+    """Ids of words, bounded in bytes but for those of the last batch. When it is full the newer half goes: frequent words come early."""
+
+    def __init__(self, limit: int):
+        self.ids: dict[str, bytes] = {"": b""}
+        self.limit, self.size = limit, 0
+
+    def missing(self, words: set[str]) -> list[str]:
+        """The words that aren't remembered; makes room first, so that the others stay until the next call."""
+        if self.size > self.limit:
+            for w in [*self.ids][len(self.ids) // 2 + 1 :]:
+                self.size -= ENTRY_BYTES + len(w) + len(self.ids.pop(w))
+        return [*words.difference(self.ids)]
+
+    def add(self, words: list[str], ids: list[bytes]) -> None:
+        if words and max(map(len, words)) > WORD_CHARS:
+            short = [x for x in zip(words, ids, strict=True) if len(x[0]) <= WORD_CHARS]
+            words, ids = [x[0] for x in short], [x[1] for x in short]
+        self.ids.update(zip(words, ids, strict=True))
+        self.size += ENTRY_BYTES * len(words) + sum(map(len, words)) + sum(map(len, ids))
 
 
 class WordTokenizer:
-    """Ids by the tokenizers library, for vocabularies that drop white space: words between spaces are encoded apart.
+    """Ids by the tokenizers library. Where its vocabulary drops white space and case, its own rule splits texts into parts here.
 
-    Each distinct word is encoded once and remembered, in a bounded table.
+    Each distinct part is encoded once and remembered. New parts are encoded many at a time as one text, and told apart by
+    their word ends. Texts of other code points than PLAIN are encoded by words between spaces, each remembered as well.
+    Any other vocabulary encodes whole texts.
     """
 
-    def __init__(self, path: str, cache: int = CACHE_WORDS):
+    # The vocabulary's rules for normalising and splitting, on which the way by parts rests.
+    NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: Code points whose case, class and composition any version of Unicode has alike: white space, Latin, punctuation.
+    PLAIN = re.compile("[\\x09-\\x0d\\x20-\\x7e\\xa1-\\u024f\\u2010-\\u2027\\u2030-\\u205e\\u20ac]*")
+    #: The rule for plain text in lower case.
+    PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_\xb2\xb3\xb9\xbc-\xbe]+|[\d\xb2\xb3\xb9\xbc-\xbe]|(?:[^\w\s]|_)+")
+
+    def __init__(self, path: str, cache: int = CACHE_BYTES):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a worker for each core
         from tokenizers import Tokenizer
 
-        self.encoder, self.known, self.cache = Tokenizer.from_file(path), {"": b""}, cache
+        self.encoder = Tokenizer.from_file(path)
+        self.encode = getattr(self.encoder, "encode_batch_fast", self.encoder.encode_batch)
         self.kind = np.uint16 if self.encoder.get_vocab_size() <= 1 << 16 else np.uint32
+        self.words, self.parts = Remembered(cache // 4), Remembered(cache - cache // 4)
+        rules = json.loads(self.encoder.to_str())
+        normal, split = rules.get("normalizer") or {}, rules.get("pre_tokenizer") or {}
+        steps, suffix = split.get("pretokenizers") or [{}], rules["model"].get("end_of_word_suffix")
+        same = [x["type"] for x in normal.get("normalizers", [])] == self.NORMALIZERS and steps[0].get("pattern", {}).get("Regex") == self.SPLIT
+        self.by_parts = bool(same and suffix)
+        self.special = tuple(x["content"] for x in rules.get("added_tokens", []))
+        self.ends = np.zeros(self.encoder.get_vocab_size(), bool)
+        if self.by_parts:
+            self.ends[[i for x, i in self.encoder.get_vocab().items() if x.endswith(suffix)]] = True
+
+    def library(self, items: list[str]) -> list[bytes]:
+        return [np.array(x.ids, self.kind).tobytes() for at in range(0, len(items), 4096) for x in self.encode(items[at : at + 4096], add_special_tokens=False)]
+
+    def of_parts(self, new: list[str]) -> list[bytes]:
+        """Ids of parts, encoded as one text of 256 at a time; a part ends with the only word end among its ids."""
+        out: list[bytes] = []
+        groups = [new[at : at + 256] for at in range(0, len(new), 256)]
+        for parts, x in zip(groups, self.encode([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(x.ids, self.kind)
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(parts) and (not len(cuts) or cuts[-1] == len(ids)):
+                raw, width = ids.tobytes(), ids.itemsize
+                edges = [0, *(cuts * width).tolist()]
+                out += [raw[a:b] for a, b in zip(edges, edges[1:], strict=False)]
+            else:
+                out += self.library(parts)
+        return out
 
-    def learn(self, words: list[str]) -> list[bytes]:
-        if len(self.known) + len(words) > self.cache:
-            self.known = {"": b""}
-        encode = getattr(self.encoder, "encode_batch_fast", self.encoder.encode_batch)
-        found = [np.array(x.ids, self.kind).tobytes() for at in range(0, len(words), 4096) for x in encode(words[at : at + 4096], add_special_tokens=False)]
-        self.known.update(zip(words, found, strict=True))
-        return found
+    def joined(self, split: list[list[str]], table: Remembered, encode: Callable[[list[str]], list[bytes]]) -> list[np.ndarray]:
+        """Ids of texts that are split into pieces; encode makes those of pieces that aren't remembered."""
+        new = table.missing(set().union(*split))
+        made = encode(new)
+        table.add(new, made)
+        get = table.ids.__getitem__
+        if max(map(len, new), default=0) > WORD_CHARS:  # too long to be remembered
+            long = {w: x for w, x in zip(new, made, strict=True) if len(w) > WORD_CHARS}
+            get = lambda w: long[w] if len(w) > WORD_CHARS else table.ids[w]
+        return [np.frombuffer(b"".join(map(get, pieces)), self.kind) for pieces in split]
 
     def __call__(self, batch: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         out: list[np.ndarray] = []
-        for at in range(0, len(batch), 64):
-            split = [x.replace("\n", " ").split(" ") for x in batch[at : at + 64]]
-            found = [[*map(self.known.get, words)] for words in split]
-            new = {w for words, ids in zip(split, found, strict=True) if None in ids for w, x in zip(words, ids, strict=True) if x is None}
-            fresh = dict(zip(new, self.learn([*new]), strict=True)) if new else {}
-            for words, ids in zip(split, found, strict=True):
-                if None in ids:
-                    ids = [fresh[w] if x is None else x for w, x in zip(words, ids, strict=True)]
-                out.append(np.frombuffer(b"".join(ids), self.kind))
+        for at in range(0, len(batch), 256):
+            some = batch[at : at + 256]
+            if not self.by_parts:
+                out += [np.frombuffer(x, self.kind) for x in self.library(some)]
+                continue
+            plain = [self.PLAIN.fullmatch(x) is not None and not any(y in x for y in self.special) for x in some]
+            parts = iter(self.joined([self.PARTS.findall(x.lower()) for x, y in zip(some, plain, strict=True) if y], self.parts, self.of_parts))
+            words = iter(self.joined([x.replace("\n", " ").split(" ") for x, y in zip(some, plain, strict=True) if not y], self.words, self.library))
+            out += [next(parts if y else words) for y in plain]
         return out
 
 
@@ -113,39 +183,47 @@ PLACED = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa
 PLACED_DDL = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
 
 
-def mixed(x: int) -> int:
-    """A fixed 64-bit mixing function (splitmix64): the random choice of a group is the same when a task is run again."""
-    x = (x + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
-    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & 0xFFFFFFFFFFFFFFFF
-    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & 0xFFFFFFFFFFFFFFFF
-    return x ^ (x >> 31)
+def dealt(doc_id: int | None, ids: np.ndarray, repeat: int, start: int, groups: int) -> int:
+    """The group of a piece: a hash of its document, the same whenever and wherever it is worked out.
+
+    The last piece of a document stands for it; whole sequences before it, which fill a bin each, are dealt apart, so that
+    a document of any length is spread. repeat tells repeated rows of one batch apart.
+    """
+    seed = xxhash.xxh64_intdigest(b"" if doc_id is None else struct.pack("<q", doc_id), repeat)
+    return xxhash.xxh64_intdigest(ids.tobytes(), seed ^ start) % groups
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1, group_documents: int = GROUP_DOCUMENTS) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = 1, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """Every document of docs (doc_id, text) in pieces of at most capacity ids, packed into sequences.
 
     Returns a row per piece: doc_id, start and length (in the document's ids), doc_tokens, ids (little-endian unsigned
     32-bit), sequence_id, and offset in that sequence; the pieces of a sequence leave no gap. Null or empty text is a
-    document of the end id alone. Repeated rows and ids are documents of their own. A null doc_id stays null. An empty
-    table gives no rows. Other columns of docs are not read.
+    document of the end id alone. Repeated rows and ids are documents of their own. A null doc_id stays null. Text that
+    isn't valid UTF-8 is read with U+FFFD for what is damaged. An empty table gives no rows. Other columns of docs are not
+    read.
     """
-    groups = max(1, -(-docs.count() // group_documents))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = read.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    groups = max(1, -(-(8 * size["n"] + (size["bytes"] or 0)) // group_bytes))
     wide = np.dtype("<u4")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen = tokenizer(tokenizer_path), (TaskContext.get().partitionId() + 1) << 32
+        encode = tokenizer(tokenizer_path)
         end = np.array([end_id], encode.kind)
         for batch in batches:
+            seen: Counter = Counter()
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 out: list[list] = [[] for _ in PIECES]
                 for doc_id, ids in zip(part.column("doc_id").to_pylist(), encode(texts(part.column("text"))), strict=True):
                     ids = np.concatenate([ids, end])
+                    same = (doc_id, xxhash.xxh64_intdigest(ids.tobytes()))
                     for start in range(0, len(ids), capacity):
                         piece = ids[start : start + capacity]
-                        seen += 1
-                        for column, x in zip(out, (doc_id, start, len(piece), len(ids), piece.tobytes(), mixed(seen) % groups), strict=True):
+                        group = dealt(doc_id, piece, seen[same], start, groups)
+                        for column, x in zip(out, (doc_id, start, len(piece), len(ids), piece.tobytes(), group), strict=True):
                             column.append(x)
+                    seen[same] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, PIECES, strict=True)], schema=PIECES)
 
     def place(table: pa.Table) -> pa.Table:
@@ -159,8 +237,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
             schema=PLACED,
         )
 
-    pieces = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = pieces.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary, grp long")
+    pieces = read.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids binary, grp long")
     return pieces.groupBy("grp").applyInArrow(place, PLACED_DDL)
 
 
