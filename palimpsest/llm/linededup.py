@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_staged, numbered, staged
-from .setjoin import DENOMINATOR, FREQUENT_RANK, NUMERATOR, SHINGLE, among, hashed_words, headed, may_match, postings, prefix, ranked, rarity_table, shingles, similar, spaced, without, words_of
+from .setjoin import DENOMINATOR, FREQUENT_RANK, NUMERATOR, SHINGLE, among, hashed_words, headed, may_match, postings, prefix, ranked, rarity_buckets, rarity_table, shingles, similar, spaced, without, words_of
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -21,15 +21,15 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return lines.select((F.col("id") + F.col("line")).alias("id"), "s")
 
 
-def repeated_lines(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, k: int = SHINGLE) -> DataFrame:
-    """id of every line of docs (id, text) that is similar to a line of smaller id, each once.
+def repeated_lines(docs: DataFrame, text_bytes: int, num: int = NUMERATOR, den: int = DENOMINATOR, k: int = SHINGLE) -> DataFrame:
+    """id of every line of docs (id, text), of so many bytes of text, that is similar to a line of smaller id, each once.
 
     Equal token sets are compared once, as their first line. In a first round each set is held against the first line of
     each token of its prefix: as many pairs as postings, and large groups of near copies are mostly settled there. Only
     sets without a match are then compared with all lines before them.
     """
     every = lines_of(docs).select("id", hashed_words(words_of(F.col("s"))).alias("hw"))
-    table = rarity_table(every, k)
+    table = rarity_table(every, k, rarity_buckets(text_bytes))
     tokens = F.col("tokens")
     lines = every.select("id", F.size("hw").alias("words"), shingles(k).alias("h")).select("id", "words", ranked("h", table).alias("tokens"))
     # a line under k words is only like one of the same words, so it needs no postings
@@ -74,11 +74,11 @@ def dedup_lines(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, k
     become empty. An empty table gives no rows. Columns named n_lines or n_removed are replaced, others are kept.
     """
     docs = docs.drop("n_lines", "n_removed")
-    most = docs.agg(F.max(F.octet_length("text")).alias("n")).first()["n"]
-    stride = (most or 0) + 1  # more than any document has lines
+    sizes = docs.agg(F.max(F.octet_length("text")).alias("most"), F.sum(F.octet_length("text")).alias("total")).first()
+    stride = (sizes["most"] or 0) + 1  # more than any document has lines
     rows = numbered(docs, (1 << 63) // stride)
     text = F.col("row.text")
-    gone = repeated_lines(rows.where(text.isNotNull()).select((F.col("no") * stride).alias("id"), text.alias("text")), num, den, k)
+    gone = repeated_lines(rows.where(text.isNotNull()).select((F.col("no") * stride).alias("id"), text.alias("text")), sizes["total"] or 0, num, den, k)
     gone = gone.select(F.expr(f"id div {stride}L").alias("no"), F.pmod("id", F.lit(stride)).cast("int").alias("line"))
     rows = rows.join(gone.groupBy("no").agg(F.collect_list("line").alias("gone")).hint("shuffle_hash"), "no", "left")
     rows = rows.withColumn("lines", F.split(text, "\n"))

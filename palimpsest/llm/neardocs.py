@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import drop_staged, staged
 from .components import connected_components
-from .setjoin import DENOMINATOR, FREQUENT_RANK, NUMERATOR, SHINGLE, among, hashed_words, headed, may_match, postings, prefix, ranked, rarity_table, shingles, similar, spaced, without, words_of
+from .setjoin import DENOMINATOR, FREQUENT_RANK, NUMERATOR, SHINGLE, among, hashed_words, headed, may_match, postings, prefix, ranked, rarity_buckets, rarity_table, shingles, similar, spaced, without, words_of
 
 
 def worded(texts: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def similar_groups(texts: DataFrame, labels: DataFrame, num: int = NUMERATOR, de
     labels are those of texts, each once. An empty table gives no rows.
     """
     words = worded(texts)
-    table = rarity_table(words, k)
+    size = texts.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"]
+    table = rarity_table(words, k, rarity_buckets(size or 0))
     tokens = F.col("tokens")
     rows = words.select("id", F.size("hw").alias("words"), shingles(k).alias("h")).select("id", "words", ranked("h", table).alias("tokens"))
     some = F.when(F.col("words") >= k, prefix(tokens, num, den)).otherwise(F.array().cast("array<long>"))

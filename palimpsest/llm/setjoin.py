@@ -14,8 +14,9 @@ from .common import drop_staged, staged
 
 #: Similarity, as a fraction of whole numbers so that bounds are exact; words of a shingle.
 NUMERATOR, DENOMINATOR, SHINGLE = 8, 10, 5
-#: Buckets of the table of token counts: its size in bytes, which every task gets.
-RARITY_BUCKETS = 1 << 18
+#: Buckets of the table of token counts, at least and at most: its size in bytes, which every task gets. Counting takes more
+#: shuffles the more there are. And the bytes of text for each, some 500 tokens: a token that is more frequent stands out.
+LEAST_BUCKETS, MOST_BUCKETS, BUCKET_TEXT = 1 << 12, 1 << 21, 2048
 #: Buckets that are counted side by side in a row; both are powers of two.
 COUNTERS = 8
 #: Rows of 64 bits of the filters that spare lines and texts without a candidate a shuffle: at most 2 MB are broadcast.
@@ -46,28 +47,30 @@ def shingles(k: int) -> Column:
     return F.when(F.size("hw") >= k, longer).otherwise(F.array(F.xxhash64(F.lit(2), F.col("hw"))))
 
 
-def rarity_table(lines: DataFrame, k: int, bucket_count: int = RARITY_BUCKETS) -> bytearray:
-    """For each bucket of token hashes, a byte that rises with the logarithm of its count over all lines (of hw). The driver gets a row per COUNTERS buckets."""
+def rarity_buckets(text_bytes: int) -> int:
+    """A power of two that grows with the text, so that as many tokens fall into a bucket."""
+    return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (text_bytes // BUCKET_TEXT).bit_length()))
+
+
+def rarity_table(lines: DataFrame, k: int, buckets: int) -> bytearray:
+    """For each bucket of token hashes, a byte that rises with the logarithm of its count over all lines (of hw): 1 for a count of 0 or 1, 2 more for each doubling, 121 at most. The driver gets these bytes alone."""
     # shingles are hashed from their places here, not as an array: that keeps most of the pass in generated code; a filter
     # on the number of words would have them split twice
     places = F.when(F.size("hw") >= k, F.sequence(F.lit(0), F.size("hw") - k)).otherwise(F.array().cast("array<int>"))
     tokens = lines.select("hw", F.explode(places).alias("i")).select(F.xxhash64(*(F.get("hw", F.col("i") + j) for j in range(k))).alias("h"))
     # a group counts several buckets, so that the groups fit the map that generated code keeps for them
-    bucket = F.col("h").bitwiseAND(bucket_count - 1).cast("int")
+    bucket = F.col("h").bitwiseAND(buckets - 1).cast("int")
     within = bucket.bitwiseAND(COUNTERS - 1)
-    groups = tokens.groupBy(F.shiftright(bucket, COUNTERS.bit_length() - 1).alias("group"))
-    counts = groups.agg(*(F.sum((within == j).cast("long")).alias(f"n{j}") for j in range(COUNTERS))).toArrow()
-    table = bytearray(b"\x01" * bucket_count)  # no token there: as a count of 1
-    group = counts.column("group").to_pylist()
-    for j in range(COUNTERS):
-        for g, n in zip(group, counts.column(f"n{j}").to_pylist(), strict=True):
-            table[g * COUNTERS + j] = rank_of(n)
-    return table
-
-
-def rank_of(n: int) -> int:
-    """1 for a count of 0 or 1, 2 more for each doubling, 121 at most."""
-    return min((n * n).bit_length() - 1 if n > 1 else 0, 120) + 1
+    groups = tokens.groupBy(F.shiftright(bucket, COUNTERS.bit_length() - 1).cast("long").alias("group"))
+    counts = groups.agg(*(F.sum((within == j).cast("long")).alias(f"n{j}") for j in range(COUNTERS)))
+
+    def rank(n: Column) -> Column:
+        return (F.least(F.lit(120), F.floor(F.log2(F.greatest(n, F.lit(1))) * 2)) + 1).cast("int")
+
+    digits = F.concat(*(F.lpad(F.hex(rank(F.col(f"n{j}"))), 2, "0") for j in range(COUNTERS)))
+    every = lines.sparkSession.range(buckets // COUNTERS).select(F.col("id").alias("group")).join(counts.select("group", digits.alias("digits")), "group", "left")
+    pairs = F.sort_array(F.collect_list(F.struct("group", F.coalesce("digits", F.lit("01" * COUNTERS)).alias("digits"))))
+    return bytearray(every.agg(F.unhex(F.array_join(F.transform(pairs, lambda x: x["digits"]), "")).alias("table")).first()["table"])
 
 
 def ranked(hashes: str, table: bytearray) -> Column:
