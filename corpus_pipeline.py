@@ -6,6 +6,8 @@ all but the last return the columns of documents. run() applies them to document
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,29 +25,53 @@ def recounted(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(*columns)
 
 
+def beside(docs: DataFrame, names: set[str], stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """stage(docs) with the columns of docs, those of names too, which the stage would replace by its own."""
+    own = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c in names}
+    return stage(docs.withColumnsRenamed(own)).select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go, those of null or empty text among them.
+
+    Equal texts get equal verdicts; a null doc_id is a row like any other. Other columns stay. No rows give no rows.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return quality.quality_rules(docs, labels).where("kept").select(*docs.columns)
+    added = {x.split()[0] for x in quality.SCORED.split(", ")}
+    return beside(docs, added, lambda d: quality.quality_rules(d, labels).where("kept"))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line, short ones too, go; every document stays, with what is left of it."""
-    return recounted(linededup.dedup_lines(docs), docs.columns)
+    """Lines that repeat an earlier line, short ones too, go; every document stays, with what is left of it.
+
+    A repeated row loses its lines with words, its text may become empty; null stays null. Ties of doc_id are ordered by a
+    hash of the text. Other columns stay, n_chars is counted anew. No rows give no rows.
+    """
+    return recounted(beside(docs, {"n_lines", "n_removed"}, linededup.dedup_lines), docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, that of the least doc_id (null first).
+
+    Null and empty texts are one group, repeated rows another each. All columns stay. No rows give no rows.
+    """
     return simhash.one_of_each(docs)
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by their kind in brackets."""
-    return recounted(secretscan.mask_secrets(docs), docs.columns)
+    """Secrets are replaced by their kind in brackets; every document stays.
+
+    Null stays null, empty stays empty. Other columns stay, n_chars is counted anew. No rows give no rows.
+    """
+    return recounted(beside(docs, {"n_secrets"}, secretscan.mask_secrets), docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
+    """Pieces of documents in sequences of 2048 tokens.
+
+    Null or empty text is a document of the end id alone; repeated rows are documents of their own. Other columns are not
+    read. No rows give no rows.
+    """
     return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
