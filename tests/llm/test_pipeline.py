@@ -39,3 +39,21 @@ def test_run_over_odd_rows(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r["doc_id"] for r in out} == {4}
+
+
+def test_stages_keep_clashing_columns_and_empty_tables(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    own = {"score": "mine", "kept": "mine", "n_lines": "mine", "n_secrets": "mine", "no": "mine", "row": "mine", "id": "mine", "component": "mine"}
+    names = ", ".join(f"{c} string" for c in own)
+    rows = [(1, text, 9, *own.values()), (2, "secret = abcdefghij\n" + " ".join(f"v{i}" for i in range(60)), 9, *own.values())]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, n_chars long, {names}")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        columns = docs.columns
+        docs = staged(stage(spark, docs, SF), "test-stage")
+        assert docs.columns == columns
+        got = docs.collect()
+        assert len(got) == 2 and {r[c] for r in got for c in own} == {"mine"}
+        nothing = staged(stage(spark, docs.where("false"), SF), "test-stage")
+        assert nothing.columns == columns and nothing.count() == 0
+    assert all(r["n_chars"] == len(r["text"]) for r in got) and "[assign]" in {r["doc_id"]: r["text"] for r in got}[2]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.where("false"), SF).count() == 0
