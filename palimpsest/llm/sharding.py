@@ -1,14 +1,14 @@
 """Balanced label propagation: linked documents move towards their neighbours' shards, under capacity quotas.
 
-Documents of equal text are linked. A link group is held as its counts per shard, so that a group of any size is a few
-rows. In each round a group asks to move its documents to the shard where most of them lie; requests are granted while
+Documents of equal text are linked. A link group is held as its counts by shard, so that a group of any size is one
+row. In each round a group asks to move its documents to the shard where most of them lie; requests are granted while
 the shard has room, in a fixed order. Documents without links fill what is left, so that the numbers of rows end at most
 one apart; only what is over a quota is moved, documents without links first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_staged, running_total, staged
@@ -18,33 +18,36 @@ SHARDS, ROUNDS = 16, 24
 CHUNK = 8192
 
 
-def propagated(counts: DataFrame, shards: int, quotas: list[int], rounds: int, chunks: int) -> DataFrame:
-    """(g, shard, n) of link groups after the rounds of moves, or when none is left; the sum of n over a shard is within its quota unless it was over it before."""
-    group = Window.partitionBy("g")
-    before_round = None
+def propagated(groups: DataFrame, shards: int, quotas: list[int], rounds: int, chunks: int) -> DataFrame:
+    """groups (g, n), n the numbers of a link group's documents by shard, after the rounds of moves, or when none is left; the sum of n over a shard is within its quota unless it was over it before."""
+    none, before_round = F.lit(0).cast("long"), None
+    places = F.transform("n", lambda x, s: F.struct(x.alias("n"), F.xxhash64("g", s).alias("h"), s.alias("shard")))
+    to = F.col("to")
+
+    def total(of: Column) -> Column:
+        return F.aggregate(of, none, lambda a, x: a + x["n"])
+
+    def taken(p: Column) -> Column:
+        """Of a place that gives up documents: how many, the places with fewer first."""
+        return F.greatest(none, F.least(p["n"], F.col("granted") - total(F.filter("less", lambda x: x < p))))
+
     for _ in range(rounds):
-        held = counts.groupBy("shard").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("together")).collect()  # a row per shard
-        load, together = {r["shard"]: r["n"] for r in held}, sum(r["together"] for r in held)
-        if together == before_round:
-            break  # nothing moved
-        before_round = together
-        room = F.array(*(F.lit(max(0, quotas[s] - load.get(s, 0))).cast("long") for s in range(shards)))
-        free = F.get(room, F.col("shard"))
-        best = F.max(F.when(free > 0, F.struct("n", F.xxhash64("g", "shard").alias("h"), "shard"))).over(group)
-        d = counts.withColumn("to", best).withColumn("best", F.col("to.shard"))
-        more = F.struct("n", F.xxhash64("g", "shard").alias("h"), "shard") < F.col("to")  # rows never leave a shard with more of their group
-        d = d.withColumn("asks", F.when(more, F.col("n")).otherwise(0)).drop("to")
-        asking = d.where("asks > 0")
-        before = running_total(asking, ["best"], F.pmod(F.xxhash64("g"), F.lit(chunks)), ["g", "shard"], F.col("asks"), "before")
-        granted = F.greatest(F.lit(0), F.least(F.col("asks"), F.get(room, F.col("best")) - F.col("before")))
-        moved = before.withColumn("moved", granted)
-        went = moved.where("moved > 0").select("g", F.col("best").alias("shard"), F.col("moved").alias("n"))
-        left = moved.select("g", "shard", (F.col("n") - F.col("moved")).alias("n"))
-        new = d.where("asks = 0").select("g", "shard", "n").unionByName(left).unionByName(went).where("n > 0").groupBy("g", "shard").agg(F.sum("n").alias("n"))
-        new = staged(new, "labels")
-        drop_staged(counts)
-        counts = new
-    return counts
+        sums = (F.sum(F.get("n", F.lit(s))).alias(f"n{s}") for s in range(shards))
+        held = groups.agg(*sums, F.sum(F.aggregate("n", none, lambda a, x: a + x * x)).alias("together")).first()
+        if held["together"] in (None, before_round):
+            break  # no groups, or nothing moved
+        before_round = held["together"]
+        room = F.lit([max(0, quotas[s] - held[f"n{s}"]) for s in range(shards)]).cast("array<long>")
+        d = groups.withColumn("places", places).withColumn("to", F.array_max(F.filter("places", lambda x: F.get(room, x["shard"]) > 0)))
+        d = d.withColumn("less", F.filter("places", lambda x: (x["n"] > 0) & (x < to)))  # rows never leave a shard with more of their group
+        d = d.withColumns({"best": to["shard"], "asks": total(F.col("less"))})
+        asking = running_total(d.where("asks > 0"), ["best"], F.pmod(F.xxhash64("g"), F.lit(chunks)), ["g"], F.col("asks"), "before")
+        moved = asking.withColumn("granted", F.greatest(none, F.least("asks", F.get(room, F.col("best")) - F.col("before"))))
+        moved = moved.select("g", F.transform("places", lambda p: F.when(p["shard"] == to["shard"], p["n"] + F.col("granted")).when(p < to, p["n"] - taken(p)).otherwise(p["n"])).alias("n"))
+        new = staged(d.where("asks = 0").select("g", "n").unionByName(moved), "labels")
+        drop_staged(groups)
+        groups = new
+    return groups
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -67,14 +70,14 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
     groups = rows.groupBy("h1", "h2").agg(F.count("*").alias("copies")).where("copies > 1").select("h1", "h2", F.xxhash64("h1", "h2").alias("g"))
     groups = staged(groups, "groups")  # else the join would use the aggregate's partitions, and Spark couldn't split a hot one
     linked = staged(rows.join(groups, ["h1", "h2"]).select("uid", "g", start.alias("shard")), "linked")
-    counts = propagated(staged(linked.groupBy("g", "shard").agg(F.count("*").alias("n")), "labels"), shards, quotas, rounds, chunks)
+    counts = linked.groupBy("g").agg(F.array(*(F.count(F.when(F.col("shard") == s, 1)) for s in range(shards))).alias("n"))
+    counts = propagated(staged(counts, "labels"), shards, quotas, rounds, chunks)
 
     # the documents of a group, in a fixed order, take the places that its counts give
     mix = F.pmod(F.xxhash64("uid", F.lit(13)), F.lit(chunks))
     placed = running_total(linked.select("uid", "g"), ["g"], mix, ["uid"], F.lit(1), "rank")
-    upto = Window.partitionBy("g").orderBy("shard").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = counts.withColumn("end", F.sum("n").over(upto)).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("end", "shard"))).alias("spans"))  # a struct per shard
-    placed = placed.join(spans, "g").select("uid", F.get(F.filter("spans", lambda x: x["end"] > F.col("rank")), F.lit(0))["shard"].alias("group_shard"))
+    ends = F.transform("n", lambda x, s: F.aggregate(F.slice("n", F.lit(1), s + 1), F.lit(0).cast("long"), lambda a, y: a + y))
+    placed = placed.join(counts.select("g", ends.alias("ends")).hint("merge"), "g").select("uid", F.size(F.filter("ends", lambda x: x <= F.col("rank"))).alias("group_shard"))
     rows = rows.join(placed, "uid", "left").withColumns({"single": F.col("group_shard").isNull().cast("int"), "shard": F.coalesce("group_shard", start)})
 
     order = F.col("single") * chunks + mix
@@ -90,8 +93,9 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS)
             filled += quotas[s] - n
     quota = F.get(F.array(*(F.lit(x).cast("long") for x in quotas)), F.col("shard"))
     extra = F.when(F.col("slot") >= quota, F.get(F.array(*(F.lit(x).cast("long") for x in over)), F.col("shard")) + F.col("slot"))
-    shard, slot = F.col("shard"), F.col("slot")
-    for first, s, n in gaps:  # the last gap that begins at or before it
-        hit = F.col("extra") >= first
-        shard, slot = F.when(hit, F.lit(s)).otherwise(shard), F.when(hit, F.lit(n - first) + F.col("extra")).otherwise(slot)
-    return slotted.withColumn("extra", extra).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    # looked up in arrays: a case for each gap is code that takes the compiler much memory
+    first, to, held = (F.lit([x[i] for x in gaps]).cast("array<long>") if gaps else F.array().cast("array<long>") for i in range(3))
+    gap = F.size(F.filter(first, lambda x: x <= F.col("extra"))) - 1  # the last that begins at or before it
+    shard = F.coalesce(F.get(to, F.col("gap")), F.col("shard"))
+    slot = F.coalesce(F.get(held, F.col("gap")) - F.get(first, F.col("gap")) + F.col("extra"), F.col("slot"))
+    return slotted.withColumn("extra", extra).withColumn("gap", gap).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.cast("int").alias("shard"), slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -16,7 +16,7 @@ import pytest
 import xxhash
 
 from palimpsest.llm import chat, htmlmain, linededup, media, neardocs, packing, piecebpe, quality, queries, secretscan, setjoin, sharding, simhash
-from palimpsest.llm.common import numbered, running_total
+from palimpsest.llm.common import numbered, running_total, staged
 from palimpsest.llm.components import connected_components
 
 SF = "/root/testdata/sf0.001"
@@ -421,6 +421,28 @@ def test_sharding_is_even_and_keeps_copies(spark, odd, none):
     assert sharding.shard_documents(none).count() == 0
 
 
+def test_sharding_code_is_small(spark):
+    """A case for each gap made one method of some 3,000 bytes of code, whose compilation takes an executor much memory."""
+    texts = [f"text {i}" for i in range(300)] + ["huge"] * 100
+    out = sharding.shard_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    code = spark._jvm.PythonSQLUtils.explainString(out._jdf.queryExecution(), "codegen")
+    assert 0 < max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) < 1600
+    balanced(rows(out), len(texts))
+
+
+def test_sharding_moves(spark):
+    rng = random.Random(8)
+    before = {g: [rng.randrange(4) * rng.randrange(9) for _ in range(4)] for g in range(30)} | {99: [50, 0, 0, 50]}
+    loads = [sum(n[s] for n in before.values()) for s in range(4)]
+    quotas = [loads[0] + 30, loads[1] + 10, loads[2] - 5, loads[3]]
+    after = {r["g"]: r["n"] for r in rows(sharding.propagated(staged(spark.createDataFrame(list(before.items()), "g long, n array<long>"), "test"), 4, quotas, 24, 3))}
+    assert {g: sum(n) for g, n in after.items()} == {g: sum(n) for g, n in before.items()} and min(map(min, after.values())) >= 0
+    assert all(sum(n[s] for n in after.values()) <= max(quotas[s], loads[s]) for s in range(4))
+    parts = [sum(sum(x > 0 for x in n) for n in groups.values()) for groups in (before, after)]
+    assert parts[1] < parts[0] - 15
+    assert sum(x * x for n in after.values() for x in n) > sum(x * x for n in before.values() for x in n)
+
+
 def test_running_total(spark):
     from pyspark.sql import functions as F
 
