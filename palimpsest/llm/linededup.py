@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import drop_staged, numbered, staged
-from .setjoin import DENOMINATOR, FREQUENT_RANK, NUMERATOR, SHINGLE, among, hashed_words, headed, may_match, postings, prefix, ranked, rarity_buckets, rarity_table, shingles, similar, spaced, without, words_of
+from .setjoin import CODE, DENOMINATOR, FREQUENT_RANK, NUMERATOR, SHINGLE, STEPS, among, coded_shingles, coded_words, counted_table, head_size, headed, may_match, parted, postings, prefix, ranked, rare_as_one, rare_prefix, rare_token, rarity_buckets, similar, spaced
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -21,34 +21,71 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return lines.select((F.col("id") + F.col("line")).alias("id"), "s")
 
 
-def repeated_lines(docs: DataFrame, text_bytes: int, num: int = NUMERATOR, den: int = DENOMINATOR, k: int = SHINGLE) -> DataFrame:
-    """id of every line of docs (id, text), of so many bytes of text, that is similar to a line of smaller id, each once.
+def lines_among(docs: DataFrame, ids: DataFrame, stride: int) -> DataFrame:
+    """Those lines of docs whose id is in ids, each once there; texts that surely have none aren't split."""
+    texts = parted(docs, ids.select((F.col("id") - F.pmod("id", F.lit(stride))).alias("id")), ["id"])[0]
+    return among(lines_of(texts), ids, ["id"])
+
+
+def repeated_lines(docs: DataFrame, text_bytes: int, stride: int, num: int = NUMERATOR, den: int = DENOMINATOR, k: int = SHINGLE) -> DataFrame:
+    """id of every line of docs (id, text; ids are multiples of stride), of so many bytes of text, that is similar to a line of smaller id, each once.
 
     Equal token sets are compared once, as their first line. In a first round each set is held against the first line of
     each token of its prefix: as many pairs as postings, and large groups of near copies are mostly settled there. Only
     sets without a match are then compared with all lines before them.
     """
-    every = lines_of(docs).select("id", hashed_words(words_of(F.col("s"))).alias("hw"))
-    table = rarity_table(every, k, rarity_buckets(text_bytes))
-    tokens = F.col("tokens")
-    lines = every.select("id", F.size("hw").alias("words"), shingles(k).alias("h")).select("id", "words", ranked("h", table).alias("tokens"))
+    def hashed(lines: DataFrame) -> DataFrame:
+        """(id, words, h) of lines (id, s): the number of words, and the distinct hashes of shingles in order."""
+        codes = lines.select("id", coded_words(F.col("s")).alias("code"))
+        return codes.select("id", F.shiftright(F.octet_length("code"), CODE.bit_length() - 1).alias("words"), F.sort_array(F.array_distinct(coded_shingles("code", k))).alias("h"))
+
+    n = F.size("h")
     # a line under k words is only like one of the same words, so it needs no postings
-    some = F.when(F.col("words") >= k, prefix(tokens, num, den)).otherwise(F.array().cast("array<long>"))
-    lines = lines.select("id", "words", F.size(tokens).alias("n"), F.xxhash64(tokens).alias("h1"), F.xxhash64(F.lit(1), tokens).alias("h2"), some.alias("prefix"))
+    head = F.when(F.col("words") >= k, F.slice("h", F.lit(1), head_size(n, num, den))).otherwise(F.array().cast("array<long>"))
+    lines = hashed(lines_of(docs)).select("id", "words", n.alias("n"), F.xxhash64("h").alias("h1"), F.xxhash64(F.lit(1), "h").alias("h2"), head.alias("head"))
     lines = staged(lines, "lines").where("words > 0")
     firsts = lines.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("h1", "h2", "first")
     firsts = staged(firsts, "firsts")  # else the join would use the aggregate's partitions, and Spark couldn't split a hot one
-    copies = staged(lines.select("h1", "h2", "id").join(firsts, ["h1", "h2"]).where("id > first").select("id"), "copies")
-    drop_staged(firsts)
-    held = headed(postings(without(lines.where(F.col("words") >= k).select("id", "n", "prefix"), copies, ["id"])), max(table) >= FREQUENT_RANK, "lines")
+    # sets that surely have no copy stay where they are
+    maybe, others = parted(lines, firsts, ["h1", "h2"])
+    copied = F.coalesce(F.col("id") > F.col("first"), F.lit(False))
+    known = maybe.join(firsts, ["h1", "h2"], "left").select("id", "words", "n", F.when(~copied, F.col("head")).alias("head"), copied.alias("copied"))
+    known = staged(known, "known")
+    copies = known.where("copied").select("id")
+    sets = others.select("id", "words", "n", "head").unionByName(known.where("NOT copied").drop("copied")).where(F.col("words") >= k)
+    sets = staged(sets.select("id", "n", "head"), "line-sets")
     drop_staged(lines)
+    drop_staged(firsts)
+    # counted without copies, which have no postings: else all tokens of a line with many would be frequent
+    buckets = rarity_buckets(text_bytes)
+    table = rare_as_one(counted_table(sets.select(F.explode("head").alias("h")), buckets))
+
+    def hashed_again(prefixes: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+        """ids of the sets whose prefix isn't within the head, and all their hashes, made anew from the texts."""
+        ids = staged(prefixes.where("prefix IS NULL").select("id"), f"{name}-ids")
+        return ids, staged(hashed(lines_among(docs, ids, stride)), name)
+
+    # plans with the table have no exchange: the driver would write them out, table and all, after each stage
+    ids, again = hashed_again(sets.select("id", rare_prefix("head", "n", table, num, den).alias("prefix")), "again")
+    # near copies share hashes past their heads too, which haven't been counted
+    more = rare_as_one(counted_table(again.select(F.explode("h").alias("h")), buckets), STEPS, 5 * STEPS + 1)
+    table = bytearray(map(max, table, more))
+    chosen = staged(sets.select("id", "n", rare_prefix("head", "n", table, num, den).alias("prefix")), "chosen")
+    for x in (sets, ids, again):
+        drop_staged(x)
+    ids, again = hashed_again(chosen, "full")
+    whole = again.select("id", ranked("h", table).alias("tokens")).select("id", F.size("tokens").alias("n"), prefix(F.col("tokens"), num, den).alias("prefix"))
+    whole = staged(whole, "whole")
+    some = postings(chosen).withColumn("token", rare_token(F.col("token")))
+    held = headed(some.unionByName(postings(whole)), max(table) >= FREQUENT_RANK, "lines")
+    for x in (chosen, ids, again, whole):
+        drop_staged(x)
 
     def matched(pairs: DataFrame, name: str) -> DataFrame:
         """u of the pairs (u, v) that match: their sets are made anew from the texts."""
         pairs = staged(pairs.distinct(), f"{name}-pairs")
         need = staged(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct(), f"{name}-need")
-        sets = among(lines_of(docs), need, ["id"]).select("id", hashed_words(words_of(F.col("s"))).alias("hw"))
-        sets = staged(sets.select("id", F.array_distinct(shingles(k)).alias("s")), f"{name}-sets")
+        sets = staged(hashed(lines_among(docs, need, stride)).select("id", F.col("h").alias("s")), f"{name}-sets")
         out = staged(similar(pairs, sets, num, den).select(F.col("u").alias("id")).distinct(), name)
         for x in (pairs, need, sets):
             drop_staged(x)
@@ -78,7 +115,7 @@ def dedup_lines(docs: DataFrame, num: int = NUMERATOR, den: int = DENOMINATOR, k
     stride = (sizes["most"] or 0) + 1  # more than any document has lines
     rows = numbered(docs, (1 << 63) // stride)
     text = F.col("row.text")
-    gone = repeated_lines(rows.where(text.isNotNull()).select((F.col("no") * stride).alias("id"), text.alias("text")), sizes["total"] or 0, num, den, k)
+    gone = repeated_lines(rows.where(text.isNotNull()).select((F.col("no") * stride).alias("id"), text.alias("text")), sizes["total"] or 0, stride, num, den, k)
     gone = gone.select(F.expr(f"id div {stride}L").alias("no"), F.pmod("id", F.lit(stride)).cast("int").alias("line"))
     rows = rows.join(gone.groupBy("no").agg(F.collect_list("line").alias("gone")).hint("shuffle_hash"), "no", "left")
     rows = rows.withColumn("lines", F.split(text, "\n"))

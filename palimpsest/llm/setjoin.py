@@ -19,10 +19,14 @@ NUMERATOR, DENOMINATOR, SHINGLE = 8, 10, 5
 LEAST_BUCKETS, MOST_BUCKETS, BUCKET_TEXT = 1 << 12, 1 << 21, 2048
 #: Buckets that are counted side by side in a row; both are powers of two.
 COUNTERS = 8
+#: Bytes of a word's code: a hash in hexadecimal digits, its first bit set so that none is left out.
+CODE = 16
 #: Rows of 64 bits of the filters that spare lines and texts without a candidate a shuffle: at most 2 MB are broadcast.
 MARK_ROWS = 1 << 16
+#: Ranks for each doubling of a count.
+STEPS = 4
 #: Ranks from here on (counts of about 2 ** 17) may be tokens of very many sets; those below are of fewer than that.
-FREQUENT_RANK = 35
+FREQUENT_RANK = 17 * STEPS + 1
 
 
 def spaced(text: Column) -> Column:
@@ -33,7 +37,9 @@ def spaced(text: Column) -> Column:
 
 def words_of(line: Column) -> Column:
     """Words of a line without white space but spaces."""
-    return F.array_remove(F.split(line, " "), "")
+    words = F.split(line, " ")
+    empty = (line == "") | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" ")) | F.contains(line, F.lit("  "))
+    return F.when(empty, F.array_remove(words, "")).otherwise(words)
 
 
 def hashed_words(w: Column) -> Column:
@@ -52,12 +58,29 @@ def rarity_buckets(text_bytes: int) -> int:
     return min(MOST_BUCKETS, max(LEAST_BUCKETS, 1 << (text_bytes // BUCKET_TEXT).bit_length()))
 
 
+def coded_words(line: Column) -> Column:
+    """Words of a line without white space but spaces, as CODE bytes each."""
+    return F.array_join(F.transform(words_of(line), lambda x: F.hex(F.xxhash64(x).bitwiseOR(F.lit(-(1 << 63))))), "").cast("binary")
+
+
+def coded_shingles(code: str, k: int) -> Column:
+    """shingles() of coded words: a shingle is a part of the code, which takes fewer steps than a hash of k hashes."""
+    # the inner function takes the code from a variable: from a row it would be copied whole for each shingle
+    starts = F.sequence(F.lit(1), F.octet_length(code) - (CODE * k - 1), F.lit(CODE))
+    longer = F.transform(F.array(F.col(code)), lambda c: F.transform(starts, lambda i: F.xxhash64(F.substr(c, i, F.lit(CODE * k)))))
+    return F.when(F.octet_length(code) >= CODE * k, F.get(longer, F.lit(0))).otherwise(F.array(F.xxhash64(F.lit(2), F.col(code))))
+
+
 def rarity_table(lines: DataFrame, k: int, buckets: int) -> bytearray:
-    """For each bucket of token hashes, a byte that rises with the logarithm of its count over all lines (of hw): 1 for a count of 0 or 1, 2 more for each doubling, 121 at most. The driver gets these bytes alone."""
+    """counted_table of the shingles of all lines (of hw)."""
     # shingles are hashed from their places here, not as an array: that keeps most of the pass in generated code; a filter
     # on the number of words would have them split twice
     places = F.when(F.size("hw") >= k, F.sequence(F.lit(0), F.size("hw") - k)).otherwise(F.array().cast("array<int>"))
-    tokens = lines.select("hw", F.explode(places).alias("i")).select(F.xxhash64(*(F.get("hw", F.col("i") + j) for j in range(k))).alias("h"))
+    return counted_table(lines.select("hw", F.explode(places).alias("i")).select(F.xxhash64(*(F.get("hw", F.col("i") + j) for j in range(k))).alias("h")), buckets)
+
+
+def counted_table(tokens: DataFrame, buckets: int) -> bytearray:
+    """For each bucket of token hashes (h), a byte that rises with the logarithm of its count: 1 for a count of 0 or 1, STEPS more for each doubling, 121 at most. The driver gets these bytes alone."""
     # a group counts several buckets, so that the groups fit the map that generated code keeps for them
     bucket = F.col("h").bitwiseAND(buckets - 1).cast("int")
     within = bucket.bitwiseAND(COUNTERS - 1)
@@ -65,24 +88,39 @@ def rarity_table(lines: DataFrame, k: int, buckets: int) -> bytearray:
     counts = groups.agg(*(F.sum((within == j).cast("long")).alias(f"n{j}") for j in range(COUNTERS)))
 
     def rank(n: Column) -> Column:
-        return (F.least(F.lit(120), F.floor(F.log2(F.greatest(n, F.lit(1))) * 2)) + 1).cast("int")
+        return (F.least(F.lit(120), F.floor(F.log2(F.greatest(n, F.lit(1))) * STEPS)) + 1).cast("int")
 
     digits = F.concat(*(F.lpad(F.hex(rank(F.col(f"n{j}"))), 2, "0") for j in range(COUNTERS)))
-    every = lines.sparkSession.range(buckets // COUNTERS).select(F.col("id").alias("group")).join(counts.select("group", digits.alias("digits")), "group", "left")
+    every = tokens.sparkSession.range(buckets // COUNTERS).select(F.col("id").alias("group")).join(counts.select("group", digits.alias("digits")), "group", "left")
     pairs = F.sort_array(F.collect_list(F.struct("group", F.coalesce("digits", F.lit("01" * COUNTERS)).alias("digits"))))
     return bytearray(every.agg(F.unhex(F.array_join(F.transform(pairs, lambda x: x["digits"]), "")).alias("table")).first()["table"])
 
 
-def ranked(hashes: str, table: bytearray) -> Column:
-    """The distinct tokens in rising order of rarity rank, then hash."""
-    literal = F.lit(table)
+def rare_as_one(table: bytearray, above: int = 2, least: int = 0) -> bytearray:
+    """table with 0 for buckets under least, or that hold little more than most do, by chance: nothing tells their tokens apart."""
+    usual = sorted(table)[len(table) // 2]
+    return table.translate(bytes(0 if r < max(usual + above, least) else r for r in range(256)))
+
+
+def rank(h: Column, table: bytearray) -> Column:
+    """The byte of a token hash in the table, as a binary: from the end, so that the place takes one step."""
+    return F.substr(F.lit(table), h.bitwiseOR(F.lit(-len(table))).cast("int"), F.lit(1))
+
 
-    def key(h: Column) -> Column:
-        # no function here may give null: arrays without nulls are sorted as plain numbers
-        rank = F.ascii(F.substring(literal, h.bitwiseAND(len(table) - 1).cast("int") + 1, 1).cast("string"))
-        return F.shiftleft(rank.cast("long"), 56).bitwiseOR(F.shiftrightunsigned(h, 8))
+def rare_token(h: Column) -> Column:
+    """The token of a hash of rank 0. Among those of one rank the order is that of the hashes."""
+    return F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(1 << 63))), 8)
 
-    return F.sort_array(F.array_distinct(F.transform(hashes, key)))
+
+def token(h: Column, table: bytearray) -> Column:
+    """A hash under its rank."""
+    # no function here may give null: arrays without nulls are sorted as plain numbers
+    return F.shiftleft(F.ascii(rank(h, table).cast("string")).cast("long"), 56).bitwiseOR(rare_token(h))
+
+
+def ranked(hashes: str, table: bytearray) -> Column:
+    """The distinct tokens in rising order of rarity rank, then hash."""
+    return F.sort_array(F.array_distinct(F.transform(hashes, lambda h: token(h, table))))
 
 
 def ceil_part(n: Column, num: int, den: int) -> Column:
@@ -91,8 +129,27 @@ def ceil_part(n: Column, num: int, den: int) -> Column:
     return ((up - F.pmod(up, F.lit(den))) / den).cast("int")
 
 
+def prefix_size(n: Column, num: int, den: int) -> Column:
+    return n - ceil_part(n, num, den) + 1
+
+
 def prefix(tokens: Column, num: int, den: int) -> Column:
-    return F.slice(tokens, F.lit(1), F.size(tokens) - ceil_part(F.size(tokens), num, den) + 1)
+    return F.slice(tokens, F.lit(1), prefix_size(F.size(tokens), num, den))
+
+
+def head_size(n: Column, num: int, den: int) -> Column:
+    """Of n hashes in order, so many hold the prefix if no more than a third of them are frequent."""
+    size = prefix_size(n, num, den)
+    return size + F.shiftright(size, 1) + 2
+
+
+def rare_prefix(head: str, n: str, table: bytearray, num: int, den: int) -> Column:
+    """Of head, the first hashes of a set of n in order, the prefix in the order of (rank, hash); null if it isn't within."""
+    size, zero = prefix_size(F.col(n), num, den), F.lit(b"\0")
+    first = F.slice(head, F.lit(1), size)
+    rare = F.filter(head, lambda h: rank(h, table) == zero)
+    among_head = F.transform(F.array(rare), lambda r: F.when(F.size(r) >= size, F.slice(r, F.lit(1), size)))
+    return F.when(F.exists(first, lambda h: rank(h, table) != zero), F.get(among_head, F.lit(0))).otherwise(first)
 
 
 def slot(columns: list[str]) -> tuple[Column, Column]:
@@ -137,7 +194,7 @@ def headed(rows: DataFrame, any_frequent: bool, name: str) -> DataFrame:
     split the join with it. any_frequent: whether there may be any.
     """
     frequent = F.shiftright("token", 56) >= FREQUENT_RANK
-    first = F.first(F.struct("id", "np")).over(Window.partitionBy("token").orderBy("id"))
+    first = F.first(F.struct("id", "np")).over(Window.partitionBy("token").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     held = (rows.where(~frequent) if any_frequent else rows).withColumn("first", first)
     if any_frequent:
         often = staged(rows.where(frequent), f"{name}-frequent")

@@ -347,6 +347,21 @@ def test_line_dedup_sql(spark):
     assert got == want
 
 
+def test_prefix_of_a_head_is_that_of_all_hashes(spark):
+    """Where the rare hashes of a head are enough they are the first of the whole order; else there is none."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    table = bytearray(rng.choice((0, 0, 0, 0, 0, 0, 30, 50)) for _ in range(64))
+    sets = [(i, sorted({rng.randrange(-(1 << 63), 1 << 63) for _ in range(rng.randrange(1, 60))})) for i in range(300)]
+    d = spark.createDataFrame(sets, "id long, h array<long>").withColumn("n", F.size("h"))
+    d = d.withColumn("head", F.slice("h", F.lit(1), setjoin.head_size(F.col("n"), 8, 10)))
+    short = F.transform(setjoin.rare_prefix("head", "n", table, 8, 10), setjoin.rare_token)
+    got = rows(d.select(short.alias("short"), setjoin.prefix(setjoin.ranked("h", table), 8, 10).alias("whole")))
+    assert all(r["short"] is None or r["short"] == r["whole"] for r in got)
+    assert 0 < sum(r["short"] is None for r in got) < 150
+
+
 def test_line_dedup_is_native(spark, docs):
     plan = linededup.dedup_lines(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
